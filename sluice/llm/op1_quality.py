@@ -54,14 +54,19 @@ def _repeat_words(words: Column) -> Column:
         low = (1 << POSITION_BITS) - 1
         packed = F.sort_array(F.transform(w, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
         pairs = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-        none = F.size(F.array_distinct(w)) == F.size(w)
-        return F.when(none, F.lit(0).cast("long")).when(F.size(w) <= low, _let(packed, lambda s: of_packed(w, s, low))).otherwise(_let(pairs, of_pairs))
+        return F.when(F.size(w) <= low, _let(packed, lambda s: _let(of_packed(s), lambda c: of_candidates(w, c, low)))).otherwise(_let(pairs, of_pairs))
 
-    def of_packed(w: Column, s: Column, low: int) -> Column:
-        """Equal windows lie side by side, but for others whose leading bits are the same: so two places each way are compared in full."""
+    lead = lambda x: F.shiftright(x, POSITION_BITS)
+
+    def of_packed(s: Column) -> Column:
+        """Windows whose leading bits are those of a neighbour."""
+        return F.filter(s, lambda x, i: F.coalesce(lead(x) == lead(F.get(s, i - 1)), F.lit(False)) | F.coalesce(lead(x) == lead(F.get(s, i + 1)), F.lit(False)))
+
+    def of_candidates(w: Column, s: Column, low: int) -> Column:
+        """Equal windows lie side by side, but for others with the same leading bits: so two places each way are compared in full."""
         at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-        near = lambda x, i, d: (F.shiftright(x, POSITION_BITS) == F.shiftright(F.get(s, i + d), POSITION_BITS)) & (F.get(w, at(x)) == F.get(w, at(F.get(s, i + d))))
-        twice = F.filter(s, lambda x, i: F.coalesce(near(x, i, -1), F.lit(False)) | F.coalesce(near(x, i, 1), F.lit(False)) | F.coalesce(near(x, i, -2), F.lit(False)) | F.coalesce(near(x, i, 2), F.lit(False)))
+        same = lambda x, i, d: F.coalesce(F.get(w, at(x)) == F.get(w, at(F.get(s, i + d))), F.lit(False))
+        twice = F.filter(s, lambda x, i: same(x, i, -1) | same(x, i, 1) | same(x, i, -2) | same(x, i, 2))
         return _let(F.sort_array(F.transform(twice, at)), covered)
 
     def of_pairs(s: Column) -> Column:
@@ -89,26 +94,32 @@ def _runs(words: Column) -> Column:
 def quality_features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the base counts, ``classes`` (counts in the order of CLASSES) and ``runs`` of common words."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    df = docs.select("doc_id", "lang", text.alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    df = docs.select("doc_id", "lang", text.alias("text")).withColumns(
+        {
+            "words": F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""),
+            "marks": F.regexp_extract_all("text", F.lit(r"[\p{Lu}0-9!-/:-@\[-`{-~]"), F.lit(0)),
+        }
+    )
     df = df.select(
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
-        _sum(F.transform("words", lambda w: F.length(w).cast("long"))).alias("word_chars"),
-        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size(F.filter("marks", lambda c: c.isin(*"#*$%&|<>"))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         _runs(F.col("words")).alias("runs"),
         F.length("text").cast("long").alias("_chars"),
         F.octet_length("text").cast("long").alias("_bytes"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("_upper"),
-        F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("_digit"),
-        F.regexp_count("text", F.lit(r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]")).cast("long").alias("_punct"),
+        F.size("marks").cast("long").alias("_marks"),
+        F.size(F.filter("marks", lambda c: c.between("0", "9"))).cast("long").alias("_digit"),
+        F.size(F.filter("marks", lambda c: c.between("A", "Z") | (c > "~"))).cast("long").alias("_upper"),
     )
     wide = F.col("_bytes") - F.col("_chars")
-    counts = [F.col("_chars") - F.col("word_chars"), F.col("_upper"), F.col("_digit"), F.col("n_symbols"), F.col("_punct"), wide]
-    rest = F.greatest(F.lit(0).cast("long"), F.col("word_chars") - sum(counts[1:], F.lit(0).cast("long")))
+    punct = F.col("_marks") - F.col("_digit") - F.col("_upper") - F.col("n_symbols")
+    counts = [F.col("_chars") - F.col("word_chars"), F.col("_upper"), F.col("_digit"), F.col("n_symbols"), punct, wide]
+    rest = F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("_marks") - wide)
     return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.array(*counts, rest).alias("classes"), "runs", _base_failed().alias("base_failed"))
 
 
