@@ -167,21 +167,24 @@ class Codec:
         runs = [plain[k : k + 500] for k in range(0, len(plain), 500)]
         for own, e in zip(runs, self.core.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False) if runs else [], strict=True):
             ids = np.array(e.ids, np.int32)
-            at = np.append(np.flatnonzero(self.marked[ids]), len(ids)).tolist()
-            for k, s in enumerate(own):
-                self.cache[s] = ids[at[k] : at[k + 1]].tobytes()
+            at = (4 * np.append(np.flatnonzero(self.marked[ids]), len(ids))).tolist()
+            raw = ids.tobytes()
+            self.cache.update(zip(own, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
         for s, e in zip(odd, self.core.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.cache[s] = np.array(e.ids, np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         parts = [None if t is None else self._segments(t) for t in texts]
-        cache = self.cache
-        new = {s for p in parts if p for s in p if s not in cache}
-        if len(cache) + len(new) > CACHE_SEGMENTS:
-            cache.clear()
-            new = {s for p in parts if p for s in p}
-        self._learn(list(new))
-        return [None if p is None else np.frombuffer(b"".join([cache[s] for s in p]), np.int32) for p in parts]
+        if len(self.cache) > CACHE_SEGMENTS:
+            self.cache.clear()
+        get = self.cache.get
+        found = [None if p is None else [get(s) for s in p] for p in parts]
+        holes = [k for k, f in enumerate(found) if f is not None and None in f]
+        if holes:
+            self._learn(list({s for k in holes for s, v in zip(parts[k], found[k], strict=True) if v is None}))
+            for k in holes:
+                found[k] = [get(s) if v is None else v for s, v in zip(parts[k], found[k], strict=True)]
+        return [None if f is None else np.frombuffer(b"".join(f), np.int32) for f in found]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
         if ids is None:
