@@ -17,16 +17,16 @@ def quality() -> str:
     by_class = " + ".join(term(f"(c{i} / {total})", f"q{i}") for i in range(len(q.CLASSES)))
     return rf"""
 WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
-words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     regexp_extract_all(text, '[\p{{Lu}}0-9!-/:-@\[-`{{-~]') AS marks FROM texts),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) > 2),
 named AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM windows),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM named) WHERE n > 1),
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY doc_id),
-counts AS (SELECT t.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(list_filter(marks, c -> contains('#*$%&|<>', c))) AS n_symbols,
+counts AS (SELECT t.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(list_filter(marks, lambda c: contains('#*$%&|<>', c))) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(marks) AS n_marks, length(text) AS chars, strlen(text) AS bytes,
-    len(list_filter(marks, c -> c BETWEEN '0' AND '9')) AS n_digit, len(list_filter(marks, c -> c BETWEEN 'A' AND 'Z' OR c > '~')) AS n_upper,
-    list_filter(list_transform(w, x -> lower(x)), x -> x IN ({common})) AS known
+    len(list_filter(marks, lambda c: c BETWEEN '0' AND '9')) AS n_digit, len(list_filter(marks, lambda c: c BETWEEN 'A' AND 'Z' OR c > '~')) AS n_upper,
+    list_filter(list_transform(w, lambda x: lower(x)), lambda x: x IN ({common})) AS known
     FROM words t LEFT JOIN covered USING (doc_id)),
 features AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, chars - word_chars AS c0, n_upper AS c1, n_digit AS c2, n_symbols AS c3,
     n_marks - n_digit - n_upper - n_symbols AS c4, bytes - chars AS c5, greatest(0, word_chars - n_marks - (bytes - chars)) AS c6 FROM counts),
