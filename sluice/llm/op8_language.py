@@ -78,21 +78,27 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def _unit_rows(texts: list[str]) -> Iterator[np.ndarray]:
+    """Presence rows of length one, a block of texts at a time."""
+    for i, j in blocks(texts):
+        x = presence(texts[i:j])[0].astype(np.float32)
+        yield x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
 def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the matrix of places by languages."""
     names = sorted(set(langs))
     if len(names) < 2:
         return names, np.zeros((1 << BITS, len(names)), np.float32)
-    parts = [presence(texts[i:j])[0] for i, j in blocks(texts)]
-    x = np.concatenate(parts).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     label = np.array([names.index(v) for v in langs])
-    turn = np.argsort(np.concatenate([np.arange((label == k).sum()) for k in range(len(names))])[np.argsort(np.argsort(label, kind="stable"), kind="stable")], kind="stable")
-    marks = x[turn[:LANDMARKS]]  # of each language in turn
+    order = np.argsort(label, kind="stable")
+    nth = np.empty(len(label), np.int64)
+    nth[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
+    marks = np.concatenate([rows for rows in _unit_rows([texts[k] for k in np.argsort(nth, kind="stable")[:LANDMARKS]])])  # of each language in turn
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    z = (x @ marks.T).astype(np.float64) @ nystrom
+    z = np.concatenate([(rows @ marks.T).astype(np.float64) @ nystrom for rows in _unit_rows(texts)])
     y = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = len(label) / (len(names) * np.bincount(label, minlength=len(names)))[label]
     solved = np.linalg.solve((z * weight[:, None]).T @ z + RIDGE * len(label) * np.eye(z.shape[1]) / z.shape[1], (z * weight[:, None]).T @ y)
