@@ -27,7 +27,7 @@ from sluice.llm import _spark
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_SEGMENTS = 800_000  # of a worker, about 160 MB
+CACHE_SEGMENTS = 200_000  # of a worker, about 50 MB
 THREADS = 2
 PROBES = ("", " ", "The quick  brown fox.", "naïve café — 東京 🙂", "line\nbreak\ttab", "a" * 40, "  lead and trail  ", "x=1;y[2]+=3", "­​zero", "Ⅷ ﬁ ½")
 
