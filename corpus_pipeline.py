@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import _spark
-from sluice.llm.op2_sentencepiece import decode, encode
+from sluice.llm.op2_sentencepiece import round_trip
 from sluice.llm.op3_lines import dedup_lines
 from sluice.llm.op4_simhash import near_dedup
 from sluice.llm.op6_decontamination import decontaminated
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, how many, and whether they decode to the text."""
-    out = decode(encode(docs))
+    out = round_trip(docs)
     return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

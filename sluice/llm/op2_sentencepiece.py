@@ -219,11 +219,26 @@ def codec(path: str = MODEL, threads: int = THREADS) -> Codec:
     return _codecs[path, threads]
 
 
+def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
+    size = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
+    flat = pa.array(np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(size, pa.int32(), mask=np.array([*(x is None for x in ids), False])), flat)
+
+
 def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, rows: int = 512) -> DataFrame:
     """All columns of ``docs`` and ``ids`` (which replaces a column of that name)."""
-    kept = docs.drop("ids")
+    return _encode(docs.drop("ids"), path, threads, rows, False)
+
+
+def round_trip(docs: DataFrame, path: str = MODEL, threads: int = THREADS, rows: int = 512) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: one worker for a task, and texts and ids cross to Python once."""
+    return _encode(docs.drop("ids", "decoded"), path, threads, rows, True)
+
+
+def _encode(kept: DataFrame, path: str, threads: int, rows: int, back: bool) -> DataFrame:
     at = kept.columns.index("text")
-    schema = kept.withColumn("ids", F.lit(None).cast("array<int>")).schema
+    wide = kept.withColumn("ids", F.lit(None).cast("array<int>"))
+    schema = (wide.withColumn("decoded", F.lit(None).cast("string")) if back else wide).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, threads)
@@ -231,10 +246,8 @@ def encode(docs: DataFrame, path: str = MODEL, threads: int = THREADS, rows: int
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
                 ids = c.encode(b.column(at).to_pylist())
-                size = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
-                flat = pa.array(np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]), pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(size, pa.int32(), mask=np.array([*(x is None for x in ids), False])), flat)
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], schema.names)
+                decoded = [pa.array([c.decode(x) for x in ids], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids), *decoded], schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -261,5 +274,5 @@ def _ids(cell: pa.ListScalar) -> np.ndarray | None:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spark.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = round_trip(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.length("decoded").cast("long").alias("decoded_chars"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -20,6 +20,7 @@ def odd(spark, empty=False):
 OPERATORS = {
     "quality": lambda s, d: op1_quality.quality_rules(d),
     "sentencepiece": lambda s, d: op2_sentencepiece.decode(op2_sentencepiece.encode(d)),
+    "sentencepiece_round_trip": lambda s, d: op2_sentencepiece.round_trip(d),
     "lines": lambda s, d: op3_lines.dedup_lines(d),
     "simhash": lambda s, d: op4_simhash.simhash_groups(d),
     "sharding": lambda s, d: op5_sharding.shard_plan(d),
