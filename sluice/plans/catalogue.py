@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from sluice.functions import scalars as fn
 from sluice.operators import flows, policy, predicates, tagging
 from sluice.operators.tagging import Rule
+from sluice.sources import files, properties, sql_text, templates
+from sluice.streaming import tagging as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,3 +380,52 @@ def semi_and_anti(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
     own = predicates.semi(c.where("role = 'user'"), c.where(predicates.partial_match(F.col("text"), "(?i)the")).select("conv_id"), "conv_id")
     return predicates.anti(own, c.where("turn > 6").select("conv_id"), "conv_id").select("conv_id", "turn", "role")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) SELECT doc_id, 'SELECT' AS kind, source AS table_name, lang AS column_name, 2 AS line, 0 AS ord FROM d "
+    "UNION ALL SELECT doc_id, 'SELECT', source, 'n_chars', 3, 1 FROM d UNION ALL SELECT doc_id, 'CREATE', source, lang, 6, 0 FROM d"
+)
+def sql_text_columns(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.format_string("-- two\nselect count(%1$s),\nn_chars from a.%2$s;\n\ncreate table if not exists %2$s (\n  %1$s int, primary key (%1$s));\ndrop table %2$s;", "lang", "source").alias("content"), "lang", "source")
+    found = sql_text.columns(d.where("lang is not null and source is not null").select("doc_id", "content"))
+    return found.select("doc_id", "kind", "table_name", "column_name", "line", "ord")
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value, -1 AS line FROM events WHERE props IS NOT NULL")
+def json_properties(spark, sf_dir):
+    return properties.read(_table(spark, sf_dir, "events").select("event_id", F.col("props").alias("content")), ".json")
+
+
+@query(
+    "WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS n FROM pages) "
+    "SELECT page_id, split_part(line, '=', 1) AS name, arg_max(substr(line, strpos(line, '=') + 1), n) AS value, -1 AS line FROM l WHERE trim(line, ' ') <> '' AND NOT starts_with(line, '#') AND contains(line, '=') GROUP BY page_id, split_part(line, '=', 1)"
+)
+def dotenv_properties(spark, sf_dir):
+    return properties.read(_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")), ".env")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p[\\s>]')) AS n_paragraphs, len(regexp_extract_all(html, '<p[\\s>]')) * 3 AS n_rows FROM pages WHERE regexp_matches(html, '<p[\\s>]')")
+def page_elements(spark, sf_dir):
+    nodes = templates.nodes(_table(spark, sf_dir, "pages").select("page_id", "html"))
+    own = nodes.where((F.col("name") != templates.ATTRIBUTE) & F.col("code").rlike("^(<p |</p>)"))
+    return own.groupBy("page_id").agg(F.count_if(F.col("name") == templates.ELEMENT).alias("n_paragraphs"), F.count("*").alias("n_rows"))
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("file"), F.octet_length("html").cast("long").alias("size"))
+
+
+@query("SELECT page_id, url AS file FROM pages QUALIFY count(*) OVER (PARTITION BY regexp_replace(url, '/[^/]*$', '')) <= 3")
+def directory_count_limit(spark, sf_dir):
+    return files.within_directory_count(_page_files(spark, sf_dir), 3)[0].select("page_id", "file")
+
+
+@query("SELECT page_id, strlen(html) // 1024 AS kb FROM pages WHERE strlen(html) // 1024 > 2")
+def size_limit_skipped(spark, sf_dir):
+    return files.within_size(_page_files(spark, sf_dir), 2)[1].select("page_id", F.floor(F.col("size") / 1024).alias("kb"))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type AS rule_id, count(*) AS n FROM events GROUP BY ALL")
+def event_window_counts(spark, sf_dir):
+    return streaming.tag_counts(_table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("rule_id")), "ts").select("start", "rule_id", "n")
