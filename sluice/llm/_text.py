@@ -106,11 +106,21 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes."""
-    up, down = _powers_to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each span's bytes; starts and ends ascend. Works on ``CHUNK_BYTES`` at a time, however long a text is."""
+    sums = np.zeros(len(starts), np.uint64)
+    step = CHUNK_BYTES + (1 << 15)
+    up, down = _powers_to(min(len(data), step) + 1)
+    for at in range(0, len(data), step):
+        part = data[at : at + step]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        i, j = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, at + len(part)))
+        s, e = np.maximum(starts[i:j], at) - at, np.minimum(ends[i:j], at + len(part)) - at
+        own = (total[e] - total[s]) * down[s]
+        for k in np.flatnonzero(starts[i:j] < at):  # spans that an earlier chunk began
+            own[k] *= np.uint64(pow(_BASE, at - int(starts[i + k]), 1 << 64))
+        sums[i:j] += own
+    return mix(sums + (ends - starts).astype(np.uint64))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,15 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents whose lines are all the same are one class: the first keeps its lines, the others lose theirs. Among the firsts, a
-line of ``MIN_WORDS`` words or more that at most ``RARE_DOCS`` documents hold is rare; each holder is paired with the first
-holder of the line (a star, so that rows grow with the lines and not with pairs of holders). Pairs are aligned by
-patience diff over all their lines, and blocks of aligned lines that hold a line of ``MIN_WORDS`` words are deleted
-from the later document. A line that more documents hold needs no alignment with each of them: as a block of itself it is
-deleted from every document but its first. No line is left out for being frequent.
+Documents whose lines are all the same are one class: the first keeps its lines, the others lose theirs. Among the firsts,
+runs of lines that together have ``MIN_WEIGHT`` are hashed: from each line on, and up to each line, as few as will do. A
+line weighs its words, or a word for each six characters where it has fewer blanks. Each holder of a run is paired
+with the run's first holder (a star, so that rows grow with the lines and not with pairs of holders), and pairs are aligned by
+patience diff over all their lines. What the rising order of the alignment leaves out, because it stands in another order, is
+aligned block by block after it. Blocks of ``MIN_WEIGHT`` or more are deleted from the later document, so every
+line that an earlier document holds in such a block goes, whichever and however many documents hold it.
 
 Defined cases: blank lines are kept and never compared, a null text stays null; a document is later if its doc_id is greater;
 of rows with one doc_id but other texts only those equal to the least-hashed text are changed, equal rows are changed alike;
-a null doc_id passes unchanged; other columns stay as they are.
+a null doc_id passes unchanged; other columns stay as they are; a very long text is hashed in chunks of bounded memory.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from sluice.llm import _spark, _text
 
-MIN_WORDS = 5
-RARE_DOCS = 64
+MIN_WEIGHT = 5
+CHARACTERS = 6  # of a word of a line without blanks
+PAIRS_IN_TASK = 1000
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all \\n-split lines of all texts: hash (0: no word), words, and the text each is of."""
+    """Of all \\n-split lines of all texts: hash (0: no word), weight, and the text each is of."""
     n, docs = len(data), len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -40,7 +42,24 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     words = _text.Words(data, offsets, lower=False)
     count = np.searchsorted(words.starts, ends) - np.searchsorted(words.starts, starts)
     h = _text.span_hashes(data, starts, ends)
-    return np.where(count > 0, h | np.uint64(1), np.uint64(0)), count, of
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)))
+    weight = np.where(count > 0, np.maximum(count, (chars[ends] - chars[starts]) // CHARACTERS), 0)
+    return np.where(count > 0, h | np.uint64(1), np.uint64(0)), weight, of
+
+
+def run_hashes(hashes: np.ndarray, weight: np.ndarray, least: int = MIN_WEIGHT) -> np.ndarray:
+    """Distinct hashes of the shortest runs of ``least`` weight from each line on and up to each line; blank lines are passed over."""
+    at = np.flatnonzero(hashes)
+    h, n = hashes[at].view(np.uint64), len(at)
+    upto = np.concatenate(([0], np.cumsum(weight[at], dtype=np.int64)))
+    up, down = _text._powers_to(n + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_text.mix(h) * up[:n])))
+    start = np.arange(n)
+    stop = np.searchsorted(upto, upto[:-1] + least)
+    low = np.searchsorted(upto, upto[1:] - least, "right") - 1
+    i = np.concatenate((start[stop <= n], low[low >= 0]))
+    j = np.concatenate((stop[stop <= n], start[low >= 0] + 1))
+    return np.unique(_text.mix((total[j] - total[i]) * down[i] + (j - i).astype(np.uint64)))
 
 
 def digest_of(hashes: np.ndarray) -> int:
@@ -113,45 +132,63 @@ def _longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_places(a: np.ndarray, b: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> list[int]:
-    """Places in b of the lines of common blocks; blank lines (hash 0) are passed over."""
-    in_a, in_b = np.flatnonzero(a), np.flatnonzero(b)
-    out: list[int] = []
-    block: list[tuple[int, int]] = []
-    for i, j in [*patience(a[in_a].tolist(), b[in_b].tolist()), (-9, -9)]:
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            places = [int(in_b[q]) for _, q in block]
-            if max(words[places]) >= min_words:
-                out += places
-            block = []
-        block.append((i, j))
-    return out
+def aligned_places(a: np.ndarray, b: np.ndarray, weight: np.ndarray, least: int = MIN_WEIGHT) -> list[int]:
+    """Places in b of the lines of common blocks of ``least`` weight; blank lines (hash 0) are passed over.
+
+    Aligned lines are extended to the whole block of equal lines that they are in. Of the lines in no block yet, those that a
+    holds in another order are aligned after, each by itself, at a place whose neighbour is the same, if there is one.
+    """
+    in_b = np.flatnonzero(b)
+    x, y, upto = a[np.flatnonzero(a)].tolist(), b[in_b].tolist(), np.concatenate(([0], np.cumsum(weight[in_b])))
+    gone = np.zeros(len(y), bool)
+
+    def block(i: int, j: int) -> tuple[int, int]:
+        first, last = j, j + 1
+        k = i
+        while k and first and x[k - 1] == y[first - 1]:
+            k, first = k - 1, first - 1
+        k = i + 1
+        while k < len(x) and last < len(y) and x[k] == y[last]:
+            k, last = k + 1, last + 1
+        if upto[last] - upto[first] >= least:
+            gone[first:last] = True
+        return i - j, last
+
+    known = (None, 0)
+    for i, j in patience(x, y):
+        if i - j != known[0] or j >= known[1]:
+            known = block(i, j)
+    place: dict[int, int] = {}
+    ahead: dict[tuple[int, int], int] = {}
+    for i, v in enumerate(x):
+        place.setdefault(v, i)
+        if i + 1 < len(x):
+            ahead.setdefault((v, x[i + 1]), i)
+    for j, v in enumerate(y):
+        if gone[j] or v not in place:
+            continue
+        behind = ahead.get((y[j - 1], v)) if j else None
+        tries = (ahead.get((v, y[j + 1])) if j + 1 < len(y) else None, None if behind is None else behind + 1, place[v])
+        for i in dict.fromkeys(t for t in tries if t is not None):
+            block(i, j)
+    return in_b[gone].tolist()
 
 
-def line_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
+def line_deletions(docs: DataFrame) -> DataFrame:
     """doc_id, digest, places: of each document that loses lines, which (0 is the first; null: all)."""
     seqs = _spark.materialise(sequences(docs), "lines")
-    classes = seqs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    copies = seqs.select("doc_id", "digest").join(classes.where("n > 1"), "digest").where("doc_id <> first_id").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("places"))
-    firsts = _spark.materialise(seqs.join(classes.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi"), "lines")
+    copies = _spark.first_holders(seqs.select("doc_id", "digest"), "digest").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("places"))
+    copies = _spark.materialise(copies, "copies")
+    firsts = _spark.materialise(seqs.join(copies.select("doc_id"), "doc_id", "left_anti"), "lines")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, ns = [], [], []
-            for d, h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h, w = np.frombuffer(h, np.int64), np.frombuffer(w, np.int32)
-                at = np.flatnonzero((h != 0) & (w >= MIN_WORDS))
-                ids.append(np.full(len(at), d, np.int64))
-                hs.append(h[at])
-                ns.append(at.astype(np.int32))
-            cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-            yield pa.RecordBatch.from_arrays([cat(ids, np.int64), cat(hs, np.int64), cat(ns, np.int32)], ["doc_id", "line", "place"])
-
-    lines = firsts.select("doc_id", "hashes", "words").mapInArrow(explode, "doc_id long, line long, place int")
-    held = lines.groupBy("line", "doc_id").agg(F.min("place").alias("place"))
-    stats = held.groupBy("line").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    linked = _spark.materialise(lines.join(stats, "line").where("doc_id <> first_id").select("doc_id", "place", "first_id", (F.col("n") > rare_docs).alias("common")), "linked")
-    common = linked.where("common").select("doc_id", "place")
+            found = [run_hashes(np.frombuffer(h, np.int64), np.frombuffer(w, np.int32)).view(np.int64) for h, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["doc_id", "run"])
+
+    runs = firsts.select("doc_id", "hashes", "words").mapInArrow(explode, "doc_id long, run long")
+    pairs = _spark.materialise(_spark.first_holders(runs, "run").select("first_id", "doc_id").distinct(), "linked")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,17 +199,29 @@ def line_deletions(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
                 places += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["doc_id", "place"])
 
-    pairs = linked.where("not common").select("first_id", "doc_id").distinct()
-    earlier = firsts.select(F.col("doc_id").alias("first_id"), F.col("hashes").alias("earlier"))
-    aligned = pairs.join(earlier, "first_id").join(firsts.select("doc_id", "hashes", "words"), "doc_id").select("doc_id", "earlier", "hashes", "words").mapInArrow(align, "doc_id long, place int")
-    places = aligned.union(common).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    later = firsts.select("doc_id", F.col("hashes").alias("own"), "words")
+    dealt = _dealt(pairs, firsts.select(F.col("doc_id").alias("first_id"), "hashes"))
+    aligned = dealt.join(later, "doc_id").select("doc_id", "hashes", "own", "words").mapInArrow(align, "doc_id long, place int")
+    places = aligned.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     return places.join(firsts.select("doc_id", "digest"), "doc_id").select("doc_id", "digest", "places").unionByName(copies)
 
 
-def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
+def _dealt(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Pairs with the lines of their first document; those of a document in many pairs are dealt to a task for each ``PAIRS_IN_TASK``."""
+    held = _spark.materialise(pairs.groupBy("first_id").agg(F.count("*").alias("n")), "heads")
+    limit = max((held.agg(F.sum("n")).first()[0] or 0) // _spark.HOT_KEYS + 1, PAIRS_IN_TASK)  # at most HOT_KEYS are over it
+    parts = F.ceil(F.col("n") / PAIRS_IN_TASK).cast("int")
+    hot = held.where(F.col("n") >= limit).select("first_id", parts.alias("parts"))
+    own = pairs.join(F.broadcast(hot), "first_id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    heads = held.select("first_id", F.explode(F.when(F.col("n") >= limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))).alias("part"))
+    return own.join(firsts.join(heads, "first_id"), ["first_id", "part"])
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with text less the deleted lines, and n_lines, n_removed, emptied (no line of words is left of some)."""
-    gone = line_deletions(docs, rare_docs).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("places").alias("_places"))
     kept = docs.drop("n_lines", "n_removed", "emptied")
+    doc_name, digest_name, places_name = _spark.fresh(kept.columns, "_doc", "_digest", "_places")
+    gone = line_deletions(docs).select(F.col("doc_id").alias(doc_name), F.col("digest").alias(digest_name), F.col("places").alias(places_name))
     schema = kept.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(True).alias("emptied")).schema
     at = kept.columns.index("text")
     width = len(kept.columns)
@@ -198,8 +247,10 @@ def dedup_lines(docs: DataFrame, rare_docs: int = RARE_DOCS) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    joined = kept.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    return joined.mapInArrow(run, schema)
+    named = kept.where(F.col("doc_id").isNotNull())
+    joined = named.join(gone.hint("shuffle_hash"), named["doc_id"].cast("long") == gone[doc_name], "left")
+    nameless = kept.where(F.col("doc_id").isNull()).select("*", *(F.lit(None).cast(gone.schema[c].dataType).alias(c) for c in (doc_name, digest_name, places_name)))
+    return joined.unionByName(nameless).mapInArrow(run, schema)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

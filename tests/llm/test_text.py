@@ -34,7 +34,7 @@ def test_words_are_those_of_the_pattern(texts):
 def test_lines_are_those_of_split(texts):
     data, offsets = _text.buffer_of(pa.array(texts, pa.string()))
     h, count, of = line_hashes(data, offsets)
-    assert [int(c) for c in count] == [len(WORD.findall(x)) for t in texts for x in t.split("\n")]
+    assert [int(c) for c in count] == [max(len(WORD.findall(x)), len(x) // 6) if WORD.search(x) else 0 for t in texts for x in t.split("\n")]
     seen = {}
     for x, k in zip([x for t in texts for x in t.split("\n") if WORD.search(x)], h[h != 0].tolist(), strict=True):
         assert seen.setdefault(x, k) == k
