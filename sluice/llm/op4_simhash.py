@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm import _components, _spark, _text
 
-SHINGLE = 4
+SHINGLE = 4  # of the query; near_dedup takes five words
+NEAR_SHINGLE = 5
 RADIUS = 4
 BLOCKS = 7
 PIVOTS = 16
@@ -135,11 +136,8 @@ def _close_pairs(fp: np.ndarray, rows: np.ndarray, radius: int, open_bits: int,
     for i in range(len(rows) - 1):
         stop = np.searchsorted(table[:, 0], table[i, 0] + radius, "right")
         near = np.arange(i + 1, stop)
-        for k in range(1, table.shape[1]):
-            if len(near) < 8:
-                break
-            near = near[np.abs(table[near, k] - table[i, k]) <= radius]
         if len(near):
+            near = near[np.abs(table[near] - table[i]).max(axis=1) <= radius]  # the greatest difference of any coordinate
             near = near[np.bitwise_count(fp[rows[near]] ^ fp[rows[i]]) <= radius]
             yield from ((int(rows[i]), int(rows[k])) for k in near)
 
@@ -198,9 +196,9 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """The documents that are the first of their group; all columns and rows of these stay as they are."""
-    groups = simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    groups = simhash_groups(docs, shingle, radius, blocks).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     null_id = docs.where(F.col("doc_id").isNull())
     return docs.join(groups, "doc_id", "left_semi").unionByName(null_id)
 
