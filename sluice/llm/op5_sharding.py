@@ -9,7 +9,7 @@ and a lost task repeats itself exactly: places within a partition follow a sort
 Law ``rows``: shard sizes are at most one apart; sizes, matrix and permutations follow from the seed alone.
 
 Defined cases: a null text has size 16 and the crc of no bytes (0); a null doc_id hashes like a value of its own; repeated rows are
-rows; an empty table gives no rows; other columns are not read by the plan and pass through ``sharded``.
+rows; an empty table gives no rows; other columns are not read by the plan and pass through ``sharded``, as do very long texts.
 """
 
 from __future__ import annotations
@@ -84,19 +84,23 @@ def _source(n: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n)).cast("int")
 
 
-def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of every row. Only these narrow rows are exchanged, never the texts."""
+def _deal(docs: DataFrame, carried: list[str], shards: int, seed: int) -> DataFrame:
+    """doc_id, size, text_crc32, the ``carried`` columns of ``docs``, shard and slot of every row."""
     spark = docs.sparkSession
     rows = docs.count()
     parts = max(MIN_PARTITIONS, -(-rows // PARTITION_ROWS))
     text = F.coalesce("text", F.lit(""))
-    narrow = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _source(parts).alias("part"))
+    facts = {"doc": F.col("doc_id").cast("long"), "size": (F.octet_length(text) + 16).cast("long"), "crc": F.crc32(text.cast("binary")), "part": _source(parts)}
+    names = dict(zip(facts, _spark.fresh([*carried, "shard", "slot"], *facts), strict=True))
+    wide = docs.select(*(c.alias(names[k]) for k, c in facts.items()), *carried)
     held = {r["part"]: r["count"] for r in docs.select(_source(parts).alias("part")).groupBy("part").count().collect()}  # one short row for each partition
     sources = [held.get(k, 0) for k in range(parts)]
     targets = [rows // shards + (k < rows % shards) for k in range(shards)]
     sent = matrix(sources, targets, seed)
     upto, before = np.cumsum(sent, axis=1), np.cumsum(sent, axis=0) - sent
     shared = spark.sparkContext.broadcast((np.array(sources), upto, before, np.array(targets)))
+    kept = [k for k, c in enumerate(wide.columns) if c != names["part"]]
+    schema = wide.drop(names["part"]).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sources, upto, before, targets = shared.value
@@ -112,17 +116,28 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
             shard = (rank[:, None] >= upto[part]).sum(axis=1)
             start = np.where(shard > 0, upto[part, np.maximum(shard - 1, 0)], 0)
             slot = permute(before[part, shard] + rank - start, targets[shard], _text.mix(shard.astype(np.uint64) + np.uint64(seed ^ 0x5A5A5A)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(shard.astype(np.int32)), pa.array(slot)], ["doc_id", "size", "text_crc32", "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(shard.astype(np.int32)), pa.array(slot)], schema.names)
+
+    order = [names["part"], F.xxhash64(names["doc"], names["crc"]), names["doc"], names["size"], names["crc"]]
+    dealt = wide.repartition(_spark.partitions(spark), names["part"]).sortWithinPartitions(*order)
+    return dealt.mapInArrow(deal, schema)
+
+
+def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of every row. Only these narrow rows are exchanged, never the texts."""
+    return _deal(docs, [], shards, seed).select(F.col("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
 
-    dealt = narrow.repartition(_spark.partitions(spark), "part").sortWithinPartitions("part", F.xxhash64("doc_id", "text_crc32"), "doc_id", "size", "text_crc32")
-    return dealt.mapInArrow(deal, "doc_id long, size long, text_crc32 long, shard int, slot long")
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """All rows and columns of ``docs`` with shard and slot (which replace columns of these names); rows need no key."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return _deal(docs, kept, shards, seed).select(*kept, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """All columns of ``docs`` in folders ``shard=k``, each row with its slot; doc_id must name one row."""
-    plan = shard_plan(docs, shards).select("doc_id", "shard", "slot")
-    clash = [c for c in docs.columns if c in ("shard", "slot")]
-    docs.drop(*clash).join(plan, "doc_id").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """All columns of ``docs`` in folders ``shard=k``, each row with its slot and in its order."""
+    rows = sharded(docs, shards)
+    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
