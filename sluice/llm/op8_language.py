@@ -17,6 +17,7 @@ repeated rows are predicted one by one; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ LANDMARKS = 256
 SAMPLE_ROWS = 4000
 RIDGE = 1e-2
 SHARPNESS = 6.0
+SURE_PLACES, SURE_SHARE = 400, 0.25
 BLOCK_CHARS = 1 << 20
 BLOCK_ROWS = 256
 
@@ -40,7 +42,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 _LETTER = np.zeros(0x110000, bool)
-_LETTER[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+_LETTER[[c for c in range(0x110000) if chr(c).isalpha()]] = True
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,87 +80,127 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _unit_rows(texts: list[str]) -> Iterator[np.ndarray]:
-    """Presence rows of length one, a block of texts at a time."""
-    for i, j in blocks(texts):
-        x = presence(texts[i:j])[0].astype(np.float32)
+def _unit_rows(packed: np.ndarray) -> Iterator[np.ndarray]:
+    """Presence rows of length one, a block of packed ones at a time."""
+    for i in range(0, len(packed), BLOCK_ROWS):
+        x = np.unpackbits(packed[i : i + BLOCK_ROWS], axis=1).astype(np.float32)
         yield x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and the matrix of places by languages."""
+def packed(texts: list[str]) -> np.ndarray:
+    """Presence rows as bits, 2**BITS / 8 bytes each."""
+    return np.concatenate([np.packbits(presence(texts[i:j])[0], axis=1) for i, j in blocks(texts)] or [np.zeros((0, (1 << BITS) // 8), np.uint8)])
+
+
+class Model(NamedTuple):
+    """Languages by name, the matrix of places by languages, and the value that a long text of a known language has at least."""
+
+    names: list[str]
+    matrix: np.ndarray
+    bound: float
+
+
+def fit(rows: np.ndarray, langs: list[str]) -> Model:
+    """The model of packed presence rows and their languages."""
     names = sorted(set(langs))
     if len(names) < 2:
-        return names, np.zeros((1 << BITS, len(names)), np.float32)
+        return Model(names, np.zeros((1 << BITS, len(names)), np.float32), -np.inf)
     label = np.array([names.index(v) for v in langs])
     order = np.argsort(label, kind="stable")
     nth = np.empty(len(label), np.int64)
     nth[order] = np.arange(len(label)) - np.searchsorted(label[order], label[order])
-    marks = np.concatenate([rows for rows in _unit_rows([texts[k] for k in np.argsort(nth, kind="stable")[:LANDMARKS]])])  # of each language in turn
+    marks = np.concatenate(list(_unit_rows(rows[np.argsort(nth, kind="stable")[:LANDMARKS]])))  # of each language in turn
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     nystrom = vectors[:, good] / np.sqrt(values[good])
-    z = np.concatenate([(rows @ marks.T).astype(np.float64) @ nystrom for rows in _unit_rows(texts)])
+    z = np.concatenate([(x @ marks.T).astype(np.float64) @ nystrom for x in _unit_rows(rows)])
     y = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
     weight = len(label) / (len(names) * np.bincount(label, minlength=len(names)))[label]
     solved = np.linalg.solve((z * weight[:, None]).T @ z + RIDGE * len(label) * np.eye(z.shape[1]) / z.shape[1], (z * weight[:, None]).T @ y)
-    return names, (marks.T.astype(np.float64) @ (nystrom @ solved)).astype(np.float32)
+    long = np.bitwise_count(rows).sum(axis=1, dtype=np.int64) >= SURE_PLACES
+    least = float((z @ solved).max(axis=1)[long].min()) if long.any() else 0.0
+    bound = least * SURE_SHARE if least > 0 else -np.inf
+    return Model(names, (marks.T.astype(np.float64) @ (nystrom @ solved)).astype(np.float32), bound)
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most about ``rows`` labelled texts, as many of each language as there are, up to its share; rows of least hash first."""
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
+    """Presence rows and languages of at most about ``rows`` labelled texts, as many of each language as there are, up to its share; least hash first.
+
+    The rows are made on the executors; the driver gets 4 KB of bits for each and never a text.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one short row for each language
     share = max(1, rows // max(1, len(counts)))
     below = F.lit(False)
     for lang, n in sorted(counts.items()):
         below |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)) < int(min(1.0, share / n) * (1 << 40)))
-    got = labelled.where(below).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text", "lang").limit(2 * rows).collect()
-    return [r["text"] for r in got], [r["lang"] for r in got]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = pa.array([x.tobytes() for x in packed(b.column(2).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bits], ["h", "lang", "bits"])
+
+    chosen = labelled.where(below).select(F.xxhash64("doc_id", F.lit(8)).alias("h"), "lang", "text").mapInArrow(run, "h long, lang string, bits binary")
+    got = chosen.orderBy("h", "lang", "bits").limit(2 * rows).collect()
+    return np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), [r["lang"] for r in got]
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit(*sample(docs, rows))
 
 
-def predict(texts: list[str], names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+def predict(texts: list[str], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score, and whether the text is in a language that the model knows, of each text."""
+    names, matrix, bound = model
     langs: list[str] = []
-    scores = np.zeros(len(texts))
+    scores, known = np.zeros(len(texts)), np.zeros(len(texts), bool)
     for i, j in blocks(texts):
         x, lettered = presence(texts[i:j])
+        places = x.sum(axis=1, dtype=np.float32)
         if len(names) < 2:
-            best, score = np.zeros(j - i, int), np.ones(j - i)
+            best, score, sure = np.zeros(j - i, int), np.ones(j - i), np.ones(j - i, bool)
         else:
-            value = (x.astype(np.float32) @ matrix) / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float32), 1))[:, None]
+            value = (x.astype(np.float32) @ matrix) / np.sqrt(np.maximum(places, 1))[:, None]
             best = value.argmax(axis=1)
             top = np.sort(value, axis=1)
             score = 1 / (1 + np.exp(-SHARPNESS * (top[:, -1] - top[:, -2]).astype(np.float64)))
+            sure = (top[:, -1] >= bound) | (places < SURE_PLACES)
         lettered &= bool(names)
         langs += [names[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
         scores[i:j] = np.where(lettered, score, 0.0)
-    return langs, scores
+        known[i:j] = lettered & sure
+    return langs, scores, known
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (which replace columns of these names)."""
+def identify(docs: DataFrame, model: Model, name_known: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with lang_pred and score (which replace columns of these names), and ``name_known``: whether the model knows the language."""
     kept = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = kept.columns.index("text")
+    added = {"lang_pred": F.lit(""), "score": F.lit(0.0)} | ({name_known: F.lit(True)} if name_known else {})
+    schema = kept.select("*", *(c.alias(n) for n, c in added.items())).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
         for b in batches:
-            langs, scores = predict([t or "" for t in b.column(at).to_pylist()], names, matrix)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
+            langs, scores, known = predict([t or "" for t in b.column(at).to_pylist()], shared.value)
+            own = [pa.array(langs, pa.string()), pa.array(scores), *([pa.array(known)] if name_known else [])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], schema.names)
 
-    schema = kept.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return kept.mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents in a language that the model knows; the columns stay as they are."""
-    found = identify(docs, train(docs))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    """The documents in a language that the model knows; the columns stay as they are.
+
+    Those without a letter go, and those of ``SURE_PLACES`` distinct n-grams or more whose best value is under ``SURE_SHARE`` of
+    the least that a training text as long has. A shorter text tells too little and stays.
+    """
+    model = train(docs)
+    (name,) = _spark.fresh(docs.columns, "_known")
+    clash = _spark.fresh(docs.columns, *(c for c in ("lang_pred", "score") if c in docs.columns))
+    renamed = dict(zip((c for c in ("lang_pred", "score") if c in docs.columns), clash, strict=True))
+    found = identify(docs.withColumnsRenamed(renamed), model, name).where(name)
+    return found.select(*(F.col(renamed.get(c, c)).alias(c) for c in docs.columns))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
