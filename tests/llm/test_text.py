@@ -13,7 +13,7 @@ from sluice.llm.op4_simhash import bucket_links
 from sluice.llm.op5_sharding import hypergeometric, matrix, permute
 from sluice.llm.op6_decontamination import Matcher, myers, normal
 from sluice.llm.op7_passages import compact_windows, passages
-from sluice.llm.op9_pitman_yor import CLASSES, CONTEXTS, Restaurants, class_law
+from sluice.llm.op9_pitman_yor import CLASSES, GROUPS, Restaurants, class_law, seat
 from sluice.llm.op10_html import blocks_of, declared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,13 +113,27 @@ def test_passages_near_and_exact():
 
 
 def test_restaurants_sum_to_one():
-    dish, context, count = np.array([0, 1, 2, 0]), np.array([0, 0, 1, 1]), np.array([5, 1, 300, 1])
-    m = Restaurants(dish, context, count, 3, 2, 0)
-    pair = {(0, 0): 0, (1, 0): 1, (2, 1): 2, (0, 1): 3}
-    for u in (0, 1):
-        total = sum(m.predict(np.array([d]), np.array([u]), np.array([pair.get((d, u), -1)]))[0] for d in range(4))
+    dish, word, group, count = np.array([0, 1, 2, 0]), np.array([0, 0, 1, 2]), np.array([0, 0, 0, 1]), np.array([5, 1, 300, 1])
+    m = Restaurants(dish, [word, group], count, 3, 0)
+    for u, g in ((0, 0), (1, 0), (2, 1), (-1, 0), (-1, 7)):
+        total = m.predict(np.arange(4), [np.full(4, u), np.full(4, g)]).sum()
         assert abs(total - 1) < 1e-9
-    assert np.allclose((10 ** class_law(np.zeros((CONTEXTS, CLASSES), int))).sum(axis=1), 1)
+    for level in m.levels:
+        assert ((level.tables <= level.count) & (level.tables >= np.minimum(level.count, 1))).all()
+    for lower, upper in zip(m.levels, m.levels[1:], strict=False):
+        assert (np.bincount(lower.parent, lower.tables, len(upper.count)) == upper.count).all()
+    assert np.allclose((10 ** class_law(np.zeros((GROUPS, CLASSES), int))).sum(axis=1), 1, atol=1e-5)
+
+
+def test_seats_of_a_party_follow_the_restaurant_process():
+    """Tables of a party of three, one customer after another, against the probabilities worked out by hand."""
+    rng, d, strength, prior = np.random.default_rng(1), 0.5, 1.0, 0.25
+    got = np.bincount(seat(np.full(40_000, 3), np.full(40_000, 2), np.full(40_000, prior), d, strength, rng), minlength=4)[1:] / 40_000
+    fresh = lambda t: (strength + d * (2 + t)) * prior
+    second = fresh(1) / (fresh(1) + 1 - d)
+    one = (1 - second) * (2 - d) / (fresh(1) + 2 - d)
+    three = second * fresh(2) / (fresh(2) + 2 - 2 * d)
+    assert np.allclose(got, [one, 1 - one - three, three], atol=0.01)
 
 
 def test_blocks_leave_out_what_the_markup_names():
