@@ -35,6 +35,7 @@ RADIUS = 4
 BLOCKS = 7
 PIVOTS = 16
 BUCKET_ROWS = 2048
+CHUNK_BYTES = 1 << 20  # of texts hashed at once: their shingles are spans in memory
 
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = _text.buffer_of(b.column(1))
-            fps = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle) for i, j in _text.chunks(offsets)]
+            fps = [fingerprints_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle) for i, j in _text.chunks(offsets, CHUNK_BYTES)]
             fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
