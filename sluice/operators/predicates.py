@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,10 +21,12 @@ def any_of(patterns: list[str]) -> str:
     return f"({'|'.join(patterns)})"
 
 
-def compiles(pattern: str) -> bool:
+def compiles(pattern: str, spark: SparkSession | None = None) -> bool:
+    """Whether Java, which runs the pattern, compiles it."""
+    jvm = (spark or SparkSession.active())._jvm
     try:
-        re.compile(pattern)
-    except re.error:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # of which Java's error of pattern syntax is one
         return False
     return True
 
@@ -66,3 +67,15 @@ def exact_declaration(nodes: DataFrame, declared: DataFrame) -> DataFrame:
     d = declared.select(F.col("file").alias("_file"), F.col("name").alias("_name"), F.col("line").alias("_line"), "rule_id")
     same = (F.col("file") == F.col("_file")) & (F.col("name") == F.col("_name")) & (F.col("_line").isNull() | (F.col("_line") == F.col("line")))
     return nodes.join(d, same).drop("_file", "_name", "_line")
+
+
+def parted(rows: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of which ``test`` holds, and the others, those of an unknown test with them."""
+    good = F.coalesce(test, F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
+def by_name_or_hint(pattern: str, name: str = "method_full_name", hints: str = "type_hints") -> Column:
+    """The full name matches, or some type hint does."""
+    some = F.exists(hints, lambda h: h.rlike(rf"\A(?:{pattern})\z"))
+    return full_match(F.col(name), pattern) | F.coalesce(some, F.lit(False))

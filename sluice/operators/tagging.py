@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.operators.predicates import any_of, compiles, full_match, partial_match
+from sluice.operators.predicates import allowed_file, any_of, compiles, full_match, partial_match
 
 RULE_SCHEMA = "id string, name string, category string, patterns array<string>, domains array<string>, sensitivity string, is_sensitive boolean, node_type string, cat_one string, cat_two string, language string, is_external boolean"
 
@@ -26,6 +26,9 @@ class Rule:
     cat_two: str = ""
     language: str = "UNKNOWN"
     is_external: bool = False
+    filter_property: str = "method_full_name"
+    file: str = ""
+    is_generated: bool = False
     tags: dict = field(default_factory=dict, compare=False)
 
     @property
@@ -77,33 +80,36 @@ def token_matches(name: Column, pattern: str) -> Column:
     return F.exists(F.split(name, "[ .]"), lambda t: t.rlike(rf"\A(?:{pattern})\z"))
 
 
-def rule_tags(tagged: DataFrame, rules: DataFrame) -> DataFrame:
-    """(node_id, name, value) rows of each match: id, node type, categories, and the composite key."""
-    r = tagged.select("node_id", "rule_id").join(rules.withColumnRenamed("id", "rule_id"), "rule_id")
+def match_rows(rows: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
+    """Each row once for every rule whose test holds, with its rule_id: one scan and no exchange, for texts and for tests of several columns."""
+    if not tests:
+        return rows.withColumn("rule_id", F.lit("")).where(F.lit(False))
+    hits = F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(i)) for i, t in tests])
+    return rows.withColumn("rule_id", F.explode(F.array_compact(hits)))
+
+
+def rule_tags(tagged: DataFrame, rules: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
+    """(repo, node_id, name, value) rows of each match: id, node type, categories, the composite key, and whether the rule is external.
+
+    Nothing is tagged in a file that an exclusion matches.
+    """
+    if exclusions:
+        tagged = tagged.where(allowed_file(F.col("file"), exclusions))
+    repo = ["repo"] if "repo" in tagged.columns else []
+    r = tagged.select(*repo, "node_id", "rule_id").join(F.broadcast(rules.withColumnRenamed("id", "rule_id")), "rule_id")  # the catalogue, read on the driver
+    pair = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
     pairs = F.array(
-        F.struct(F.lit("id").alias("name"), F.col("rule_id").alias("value")),
-        F.struct(F.lit("nodeType").alias("name"), F.col("node_type").alias("value")),
-        F.struct(F.lit("catLevelOne").alias("name"), F.col("cat_one").alias("value")),
-        F.struct(F.lit("catLevelTwo").alias("name"), F.col("cat_two").alias("value")),
-        F.struct(F.concat("cat_two", "node_type").alias("name"), F.col("rule_id").alias("value")),
+        pair(F.lit("id"), F.col("rule_id")),
+        pair(F.lit("nodeType"), F.col("node_type")),
+        pair(F.lit("catLevelOne"), F.col("cat_one")),
+        pair(F.lit("catLevelTwo"), F.col("cat_two")),
+        pair(F.concat("cat_two", "node_type"), F.col("rule_id")),
+        F.when(F.col("is_external"), pair(F.lit("externalRule"), F.lit(""))),
     )
-    return r.select("node_id", F.explode(pairs).alias("t")).select("node_id", "t.name", "t.value").distinct()
+    return r.select(*repo, "node_id", F.explode(F.array_compact(pairs)).alias("t")).select(*repo, "node_id", "t.name", "t.value").distinct()
 
 
 def merge_semantics(semantics: DataFrame) -> DataFrame:
     """One row for each signature: the union of its flow tokens, ordered."""
     tokens = semantics.select("signature", F.explode(F.split("flow", " ")).alias("t")).where("t <> ''")
     return tokens.groupBy("signature").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("flow"))
-
-
-def derived_by_member(types: DataFrame, members: DataFrame, objects: DataFrame) -> DataFrame:
-    """Objects whose type has a tagged member, with the member's rule."""
-    own = members.select("type_name", "rule_id").distinct()
-    return objects.join(types.select("type_name"), "type_name", "left_semi").join(own, "type_name")
-
-
-def inherits(extends: DataFrame, pattern: str) -> DataFrame:
-    """Types that extend a match of ``pattern``, or extend such a type."""
-    one = extends.where(full_match(F.col("parent"), pattern)).select("type_name").distinct()
-    two = extends.join(one.withColumnRenamed("type_name", "parent"), "parent", "left_semi").select("type_name")
-    return one.union(two).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import scalars as fn
-from sluice.operators import flows, policy, predicates, tagging
+from sluice.operators import _stage, flows, policy, predicates, sources, tagging
 from sluice.operators.tagging import Rule
 from sluice.sources import files, properties, sql_text, templates
 from sluice.streaming import tagging as streaming
@@ -27,26 +27,10 @@ SENSITIVE = [
     Rule("Data.Key", (r"(?i).*key", r"(?i).*_id"), name="Key", category="Identity", cat_two="identifier", sensitivity="low"),
     Rule("Data.Text", (r"(?i)text", r"(?i)html"), name="Text", category="Content", cat_two="content", sensitivity="medium"),
 ]
-COLUMNS = {
-    "region": "r_regionkey r_name",
-    "nation": "n_nationkey n_name n_regionkey",
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
-    "events": "event_id ts user_id event_type value props",
-    "documents": "doc_id text lang source n_chars",
-    "embeddings": "vec_id embedding label",
-    "pages": "page_id url html",
-    "benchmark": "item_id text",
-    "labels": "doc_id quality toxic",
-    "conversations": "conv_id turn role text",
-}
-_SCHEMA = [(t, c) for t, cols in COLUMNS.items() for c in cols.split()]
-_VALUES = ", ".join(f"('{t}', '{c}')" for t, c in _SCHEMA)
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_COLUMNS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{t}.' || column_name AS column_name FROM (DESCRIBE {t})" for t in TABLES)
 _RULES = ", ".join(f"('{r.id}', '{r.pattern}')" for r in SENSITIVE)
-_TAGGED = f"WITH cols(table_name, column_name) AS (VALUES {_VALUES}), rules(source_id, re) AS (VALUES {_RULES}), tagged AS (SELECT table_name, column_name, source_id FROM cols JOIN rules ON regexp_full_match(column_name, re)) "
+_TAGGED = f"WITH cols AS ({_COLUMNS}), rules(source_id, re) AS (VALUES {_RULES}), tagged AS (SELECT table_name, column_name, source_id FROM cols JOIN rules ON len(list_filter(string_split_regex(column_name, '[ .]'), lambda t: regexp_full_match(t, re))) > 0) "
 TEXT_RULES = [Rule("Text.Licence", (r"(?i).*licen[sc]e.*",)), Rule("Text.Rights", (r"All rights reserved\.",)), Rule("Text.Mail", (r".*[\w.]+@[\w.]+.*",))]
 _TEXT_RULES = ", ".join(f"('{r.id}', '{r.pattern}')" for r in TEXT_RULES)
 
@@ -73,12 +57,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _columns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SCHEMA, "table_name string, column_name string")
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all tables, as their files declare them, with the table's name before."""
+    rows = [(t, f"{t}.{c}") for t in TABLES for c in _table(spark, sf_dir, t).columns]
+    return spark.createDataFrame(rows, "table_name string, column_name string")
 
 
-def _tagged(spark: SparkSession) -> DataFrame:
-    return tagging.tag_nodes(_columns(spark), "column_name", SENSITIVE).withColumnRenamed("rule_id", "source_id")
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.columns_by_token(_columns(spark, sf_dir), SENSITIVE).withColumnRenamed("rule_id", "source_id")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +74,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_TAGGED} SELECT table_name, column_name, source_id FROM tagged")
 def sql_column_tags(spark, sf_dir):
-    return _tagged(spark)
+    return _tagged(spark, sf_dir)
 
 
 @query(f"{_TAGGED} SELECT source_id, count(DISTINCT table_name) AS n_tables, string_agg(DISTINCT table_name, ',' ORDER BY table_name) AS tables FROM tagged GROUP BY source_id HAVING count(DISTINCT table_name) > 1")
 def pii_multi_table(spark, sf_dir):
-    return policy.in_several_tables(_tagged(spark))
+    return policy.in_several_tables(_tagged(spark, sf_dir))
 
 
 @query(
@@ -101,7 +87,7 @@ def pii_multi_table(spark, sf_dir):
     "SELECT table_name, string_agg(v, ',' ORDER BY v) AS categories, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY table_name HAVING count(*) > 1"
 )
 def pii_mixed_category(spark, sf_dir):
-    return policy.mixed_values(_tagged(spark), {"Data.Name": "identity", "Data.Balance": "financial", "Data.Text": "content"}, "categories")
+    return policy.mixed_values(_tagged(spark, sf_dir), {"Data.Name": "identity", "Data.Balance": "financial", "Data.Text": "content"}, "categories")
 
 
 @query(
@@ -109,24 +95,24 @@ def pii_mixed_category(spark, sf_dir):
     "SELECT table_name, string_agg(v, ',' ORDER BY v) AS days, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY table_name HAVING count(*) > 1"
 )
 def pii_retention_conflict(spark, sf_dir):
-    return policy.mixed_values(_tagged(spark), {"Data.Name": "30", "Data.Balance": "365", "Data.Key": "30"}, "days")
+    return policy.mixed_values(_tagged(spark, sf_dir), {"Data.Name": "30", "Data.Balance": "365", "Data.Key": "30"}, "days")
 
 
 @query(f"{_TAGGED} SELECT 'Data.' || split_part(source_id, '.', 2) AS source_id, count(*) AS n, count(DISTINCT table_name) AS n_tables FROM tagged GROUP BY 1")
 def tag_counts_by_category(spark, sf_dir):
-    return _tagged(spark).groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("table_name").alias("n_tables"))
+    return _tagged(spark, sf_dir).groupBy("source_id").agg(F.count("*").alias("n"), F.count_distinct("table_name").alias("n_tables"))
 
 
 @query(f"WITH rules(rule_id, re) AS (VALUES {_TEXT_RULES}), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, rule_id, count(*) AS n FROM lines JOIN rules ON regexp_full_match(line, re) GROUP BY ALL")
 def rule_match_lines_full(spark, sf_dir):
-    return tagging.tag_nodes(_lines(spark, sf_dir), "line", TEXT_RULES).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
+    tests = [(r.id, predicates.full_match(F.col("line"), r.pattern)) for r in TEXT_RULES]
+    return tagging.match_rows(_lines(spark, sf_dir), tests).groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH rules(rule_id, re) AS (VALUES {_TEXT_RULES}) SELECT doc_id, rule_id FROM documents JOIN rules ON regexp_matches(text, re)")
 def rule_match_documents(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = F.array(*[F.when(predicates.partial_match(F.col("text"), r.pattern), F.lit(r.id)) for r in TEXT_RULES])
-    return docs.select("doc_id", F.explode(F.array_compact(hits)).alias("rule_id"))
+    return tagging.match_rows(docs, [(r.id, predicates.partial_match(F.col("text"), r.pattern)) for r in TEXT_RULES]).select("doc_id", "rule_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE NOT regexp_full_match(source, 'src1.*') AND NOT regexp_full_match(source, '.*[05]')")
@@ -137,13 +123,14 @@ def exclude_files_anti(spark, sf_dir):
 
 @query(
     "WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), "
-    "ded(file, name, line_no, rule_id) AS (VALUES ('src1', 'All rights reserved.', NULL, 'Declared.Rights'), ('src2', 'All rights reserved.', 0, 'Declared.First'), ('src3', 'Released under the MIT License.', NULL, 'Declared.Mit')) "
+    "ded AS (SELECT DISTINCT source AS file, line AS name, CASE WHEN doc_id % 2 = 0 THEN line_no END AS line_no, 'Declared.' || (doc_id % 7) AS rule_id FROM lines WHERE doc_id % 10 = 0 AND length(line) BETWEEN 3 AND 60) "
     "SELECT l.doc_id, l.line_no::INT AS line, d.rule_id FROM lines l JOIN ded d ON l.source = d.file AND l.line = d.name AND (d.line_no IS NULL OR d.line_no = l.line_no)"
 )
 def ded_exact_match(spark, sf_dir):
     nodes = _lines(spark, sf_dir).select("doc_id", F.col("source").alias("file"), F.col("line").alias("name"), F.col("line_no").alias("line"))
-    rows = [("src1", "All rights reserved.", None, "Declared.Rights"), ("src2", "All rights reserved.", 0, "Declared.First"), ("src3", "Released under the MIT License.", None, "Declared.Mit")]
-    return predicates.exact_declaration(nodes, spark.createDataFrame(rows, "file string, name string, line int, rule_id string")).select("doc_id", "line", "rule_id")
+    some = nodes.where((F.col("doc_id") % 10 == 0) & F.length("name").between(3, 60))
+    declared = some.select("file", "name", F.when(F.col("doc_id") % 2 == 0, F.col("line")).alias("line"), F.concat(F.lit("Declared."), F.col("doc_id") % 7).alias("rule_id")).distinct()
+    return predicates.exact_declaration(nodes, declared).select("doc_id", "line", "rule_id")
 
 
 _RULE_ROWS = [("A", "first", ["a1", "a2"], False, 1), ("A", "outer", ["a3"], True, 2), ("B", "only", ["b1"], False, 3), ("B", "more", ["b2", "b1"], False, 4), ("C", "ext", ["c1"], True, 5)]
@@ -164,9 +151,10 @@ def distinct_rules_first(spark, sf_dir):
     return tagging.first_rules(_rule_rows(spark))
 
 
-@query("SELECT page_id, regexp_replace(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') AS host FROM pages")
+@query("WITH u AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE regexp_replace(url, '^https?://', '') END AS url FROM pages) SELECT page_id, replace(regexp_extract(url, '^(?:https?://)?([^/?#:]+)', 1), 'www.', '') AS host FROM u")
 def page_domain(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", fn.url_host(F.col("url")).alias("host"))
+    url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "^https?://", ""))  # an address needs no scheme
+    return _table(spark, sf_dir, "pages").select("page_id", fn.url_host(url).alias("host"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<script'))::INT AS n_scripts, len(regexp_extract_all(html, '<a '))::INT AS n_links FROM pages")
@@ -180,13 +168,17 @@ def props_flatten(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", pairs)
 
 
+_PLACES = "SELECT page_id, split_part(url, '/', 3) AS host, CASE page_id % 5 WHEN 0 THEN 'jdbc:x.prod.amazonaws.com/' || page_id WHEN 1 THEN 'db.azure.com' WHEN 2 THEN '10.0.0.' || (page_id % 250) || ':5432' ELSE url END AS url, CASE WHEN page_id % 11 = 0 THEN 'conf/app-prod.yml' ELSE 'conf/app.yml' END AS file FROM pages"
+
+
 @query(
-    "WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS host, CASE WHEN regexp_matches(url, '(amazonaws|azure|cloud)\\.') THEN 3 WHEN regexp_matches(url, '^[a-z]+://') THEN 2 WHEN regexp_matches(url, '^\\d+\\.\\d+\\.\\d+\\.\\d+') THEN 1 ELSE 0 END AS rank FROM pages) "
-    "SELECT host, arg_max(url, (rank, -page_id)) AS url, max(rank) AS rank FROM p GROUP BY host"
+    f"WITH p AS ({_PLACES}), r AS (SELECT *, CASE WHEN regexp_full_match(file, '.*(prd|prod).*\\.(properties|yaml|yml|xml|conf)') THEN 4 WHEN regexp_full_match(url, '.*(prd|prod).*(amazonaws\\.com|orcalecloud\\.com|azure\\.com|mongodb\\.net).*') THEN 3 "
+    "WHEN regexp_full_match(url, '.*(amazonaws\\.com|orcalecloud\\.com|azure\\.com|mongodb\\.net).*') THEN 2 WHEN regexp_full_match(url, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}:[0-9]{1,4}(:[0-9]{1,4})?') THEN 1 ELSE 0 END AS rank FROM p) "
+    "SELECT host, arg_max(url, (rank, -page_id)) AS url, max(rank) AS rank FROM r GROUP BY host"
 )
 def config_priority_pick(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", "url", F.split("url", "/")[2].alias("host"), fn.config_priority(F.col("url")).alias("rank"))
-    return p.groupBy("host").agg(F.max_by("url", F.struct("rank", -F.col("page_id"))).alias("url"), F.max("rank").alias("rank"))
+    p = spark.sql(_PLACES.replace("FROM pages", "FROM {pages}"), pages=_table(spark, sf_dir, "pages"))
+    return p.withColumn("rank", fn.config_priority(F.col("url"), F.col("file"))).groupBy("host").agg(F.max_by("url", F.struct("rank", -F.col("page_id"))).alias("url"), F.max("rank").alias("rank"))
 
 
 @query(
@@ -218,7 +210,7 @@ def _nodes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = flows.reach(_edges(spark, sf_dir), _nodes(spark, sf_dir, "signup"), _nodes(spark, sf_dir, "purchase"), 4)
     users = _table(spark, sf_dir, "events").select(F.col("event_id").alias("source"), "user_id")
-    return found.join(users, "source").withColumn("path_id", flows.path_id(F.col("path")))
+    return _stage.keep(found.join(users, "source").withColumn("path_id", flows.path_id(F.col("path"))), "flows")  # its readers have one table, not a plan each
 
 
 @query(f"SELECT * FROM ({_EDGES}) WHERE dst IS NOT NULL")
@@ -278,7 +270,7 @@ def stage_matrix(spark, sf_dir):
     return flows.stage_matrix(base, {"limited": base.where(F.size("path") <= 3), "deduplicated": flows.suffix_dedup(base, ["user_id"])}, ["path_id"])
 
 
-_POLICIES = [policy.Policy("P1", sources=("user[0-4].*",), sinks=("sink[02468]",)), policy.Policy("P2", sinks=("sink.*",), sensitivity="HIGH", domains=("a.example",)), policy.Policy("P3", allowed_domains=("b.example",))]
+_POLICIES = [policy.Policy("P1", sources=("user[0-4].*",), sinks=("sink[02468]",)), policy.Policy("P2", sinks=("sink.*",), sensitivity="high", domains=("a.example",)), policy.Policy("P3", allowed_domains=("b.example",))]
 _NAMED = "SELECT 'user' || (user_id % 10) AS source_id, 'sink' || (sink % 10) AS sink_id, path_id, CASE WHEN user_id % 2 = 0 THEN 'high' ELSE 'low' END AS sensitivity, [CASE WHEN sink % 3 = 0 THEN 'a.example' ELSE 'b.example' END] AS domains FROM u"
 
 
@@ -287,8 +279,8 @@ def _named_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user"), F.col("user_id") % 10).alias("source_id"),
         F.concat(F.lit("sink"), F.col("sink") % 10).alias("sink_id"),
         "path_id",
-        F.when(F.col("user_id") % 2 == 0, "high").otherwise("low").alias("sensitivity"),
-        F.array(F.when(F.col("sink") % 3 == 0, "a.example").otherwise("b.example")).alias("domains"),
+        F.when(F.col("user_id") % 2 == 0, "high").otherwise("low").alias("source_sensitivity"),
+        F.array(F.when(F.col("sink") % 3 == 0, "a.example").otherwise("b.example")).alias("sink_domains"),
     )
 
 
@@ -302,9 +294,10 @@ def policy_flow_violations(spark, sf_dir):
     return policy.flow_violations(_named_flows(spark, sf_dir), _POLICIES).withColumn("paths", F.array_join("paths", ","))
 
 
-@query(_FLOWS + f", n AS ({_NAMED}) SELECT source_id, sink_id, count(*) AS n FROM n WHERE list_has_any(domains, ['a.example', 'c.example']) GROUP BY ALL")
+@query(_FLOWS + f", n AS ({_NAMED}) SELECT source_id, sink_id, count(DISTINCT path_id) AS n FROM n WHERE list_has_any(domains, ['a.example', 'c.example']) GROUP BY ALL")
 def policy_domain_filter(spark, sf_dir):
-    return _named_flows(spark, sf_dir).where(F.arrays_overlap("domains", F.array(F.lit("a.example"), F.lit("c.example")))).groupBy("source_id", "sink_id").agg(F.count("*").alias("n"))
+    found = policy.flow_violations(_named_flows(spark, sf_dir), [policy.Policy("P", domains=("a.example", "c.example"))])
+    return found.select("source_id", "sink_id", F.size("paths").cast("long").alias("n"))
 
 
 @query("SELECT DISTINCT source AS repo, regexp_full_match(source, 'src1.*') AS denied, NOT regexp_full_match(source, 'src[0-4]') AS not_allowed, true AS always FROM documents")
@@ -315,10 +308,17 @@ def policy_repo_filter(spark, sf_dir):
     return repos.select("repo", make("deny", "src1.*").alias("denied"), make("allow", "src[0-4]").alias("not_allowed"), make(None).alias("always"))
 
 
-@query("SELECT page_id, url AS end_point, 'Data.' || (page_id % 3) AS source_id FROM pages WHERE regexp_matches(url, '/(en|de)/') AND page_id % 3 IN (0, 1)")
+_POINTS = "SELECT page_id, url AS end_point, 'Data.' || (page_id % 3) AS source_id, CASE WHEN page_id % 4 = 0 THEN 'Collections.Webforms' ELSE 'Collections.Rest' END AS collection_id FROM pages"
+
+
+@query(
+    f"WITH c AS ({_POINTS}) SELECT 'forms' AS policy_id, page_id, source_id FROM c WHERE collection_id = 'Collections.Webforms' AND regexp_matches(end_point, '/(en|de)/') AND source_id IN ('Data.0', 'Data.1') "
+    "UNION ALL SELECT 'rest', page_id, source_id FROM c WHERE collection_id <> 'Collections.Webforms'"
+)
 def collection_violations(spark, sf_dir):
-    points = _table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("end_point"), F.concat(F.lit("Data."), F.col("page_id") % 3).alias("source_id"))
-    return policy.collection_violations(points, ["Data.0", "Data.1"], "/(en|de)/")
+    points = spark.sql(_POINTS.replace("FROM pages", "FROM {pages}"), pages=_table(spark, sf_dir, "pages"))
+    own = [policy.Policy("forms", sources=("Data[.][01]",), sinks=(), collection_type="form", end_point="/(en|de)/"), policy.Policy("rest", sources=("None",), sinks=(), collection_type="rest")]
+    return policy.collection_violations(points, own).select("policy_id", "page_id", "source_id")
 
 
 @query("SELECT DISTINCT array_to_string(string_split(replace(p_name, ' ', '.'), '.')[1:2], '.') AS prefix FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 48)")

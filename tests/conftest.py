@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

