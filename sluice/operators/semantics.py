@@ -113,7 +113,9 @@ def whole_query(code: Column, language: str = "java") -> Column:
     """The SELECT of a query that is put together from pieces: joined over +, quotes, line ends and braces; empty if there is none."""
     cut = r"[+\n{}]|\\?\"" if language == "java" else r"\|\+|\"|\n|\{|\}"
     joined = F.array_join(F.transform(F.split(code, cut), lambda x: F.regexp_replace(x, r"^[ \t]*\|", "")), "")
-    return F.regexp_extract(joined, SELECT, 0)
+    found = F.regexp_extract(joined, SELECT, 0)
+    open_ = F.regexp_count(found, F.lit(r"\(")) < F.regexp_count(found, F.lit(r"\)"))  # the call's own bracket, behind the query
+    return F.when(open_, F.regexp_replace(found, r"\)[^()]*$", "")).otherwise(found)
 
 
 def query_nodes(program: Program, calls: str = r"(?i).*(query|select|find|execute|prepare|read_sql)\w*") -> DataFrame:

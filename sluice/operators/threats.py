@@ -76,7 +76,7 @@ def _has_type(names: Sequence[str]):
 
 def keyboard_cache(s: Scan) -> DataFrame:
     """Text fields right under a layout's root that are sensitive by type or id and let the keyboard learn."""
-    fields = s.elements.where("element = 'EditText' and size(split(path, '/')) = 2")
+    fields = s.elements.where("element = 'EditText' and size(split(path, '/')) = 3")
     own = fields.where((_has_type(KEYBOARD_TYPES) | _sensitive_id(s.sources)) & ~_has_type(("textNoSuggestions",)))
     return _shape(own.where(attribute("id").isNotNull()), F.lit(None), attribute("id"))
 

@@ -346,7 +346,7 @@ def test_semantics(spark):
 
 
 def test_queries_are_read(spark):
-    nodes = [node(1, "LITERAL", code='"select email, id from users"'), node(2, "LITERAL", code='"select * from User"'), node(3, "CALL", "query", 'db.query("SELECT first" + "Name FROM t")'), node(4, "LITERAL", code='"nothing"')]
+    nodes = [node(1, "LITERAL", code='"select email, id from users"'), node(2, "LITERAL", code='"select * from User"'), node(3, "CALL", "query", 'db.query("SELECT firstName " + " FROM t")'), node(4, "LITERAL", code='"nothing"')]
     p = program(spark, nodes)
     sensitive = spark.createDataFrame([("r", "a.User", NAME.id)], "repo string, type string, rule_id string")
     tables = spark.createDataFrame([], "repo string, type_full_name string, table_name string")
