@@ -5,6 +5,10 @@ unigram scores or merge ranks and the byte fallback are rebuilt as a tokenizers
 of the sentencepiece library. Where no piece crosses a metaspace boundary no merge or best path can, so a text is cut there,
 each distinct segment of a batch is encoded once, in multithreaded batches, and texts are put together from that.
 
+Sentencepiece adds unigram scores up in single precision from the text's beginning, tokenizers in double precision. Where two
+paths of a segment are as near as single precision may turn them, which the distance of the best two tells, the text's path is
+taken again in single precision as sentencepiece takes it, so that ties fall alike.
+
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; ids outside the vocabulary or null
 decode to nothing; control pieces decode to nothing; repeated rows are encoded one by one; other columns pass unchanged.
 """
@@ -135,6 +139,11 @@ class Codec:
         if m.escape and not any(MARK in p.lstrip(MARK) for p, _, t in m.pieces if t == NORMAL):
             self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.cache: dict[str, bytes] = {}
+        self.margins: dict[str, tuple[float, float]] = {}
+        self.scores = {p: (k, np.float32(v)) for k, (p, v, t) in enumerate(m.pieces) if t == NORMAL} if m.kind == UNIGRAM else {}
+        self.longest = max(map(len, self.scores), default=0)
+        self.unk, self.unk_score = unk, np.float32(min((v for _, v in self.scores.values()), default=np.float32(0)) - np.float32(10))
+        self.bytes_ = [next((k for k, (p, _, t) in enumerate(m.pieces) if t == BYTE and p == f"<0x{b:02X}>"), unk) for b in range(256)] if m.byte_fallback else []
         self.marked = np.array([p.startswith(MARK) for p, *_ in m.pieces])
         blank = MARK if m.escape else " "
         out = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(blank, " ").encode() for p, _, t in m.pieces]
@@ -173,10 +182,58 @@ class Codec:
         for s, e in zip(odd, self.core.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.cache[s] = np.array(e.ids, np.int32).tobytes()
 
+    def _paths(self, text: str, kind: type) -> tuple[list[int], float, float]:
+        """Piece ids of the best path in the precision of ``kind``, its score, and the least distance of the best two at any place."""
+        n = len(text)
+        score, back, near = [kind(0)] + [None] * n, [None] * (n + 1), np.inf
+
+        def offer(at: int, value: float, start: int, piece: int) -> None:
+            nonlocal near
+            if back[at] is None or value > score[at]:
+                near = min(near, float(value - score[at])) if back[at] is not None else near
+                score[at], back[at] = value, (start, piece)
+            else:
+                near = min(near, float(score[at] - value))
+
+        for i in range(n):
+            single = False
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                found = self.scores.get(text[i:j])
+                if found:
+                    offer(j, kind(found[1]) + score[i], i, found[0])
+                    single |= j == i + 1
+            if not single:
+                offer(i + 1, kind(self.unk_score) + score[i], i, self.unk)
+        ids: list[int] = []
+        at = n
+        while at:
+            start, piece = back[at]
+            if piece != self.unk:
+                ids.append(piece)
+            elif self.bytes_:
+                ids += [self.bytes_[b] for b in reversed(text[start:at].encode())]
+            elif not (ids and ids[-1] == self.unk and start + 1 == at and at < n and back_unk):
+                ids.append(self.unk)
+            back_unk = piece == self.unk
+            at = start
+        return ids[::-1], float(score[n]), near
+
+    def _near_tie(self, segments: list[str]) -> bool:
+        total, near = 0.0, np.inf
+        for s in segments:
+            known = self.margins.get(s)
+            if known is None:
+                _, value, margin = self._paths(s, float)
+                known = self.margins[s] = (value, margin)
+            total += known[0]
+            near = min(near, known[1])
+        return near <= 1e-6 + 8 * float(np.finfo(np.float32).eps) * abs(total)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         parts = [None if t is None else self._segments(t) for t in texts]
         if len(self.cache) > CACHE_SEGMENTS:
             self.cache.clear()
+            self.margins.clear()
         get = self.cache.get
         found = [None if p is None else [get(s) for s in p] for p in parts]
         holes = [k for k, f in enumerate(found) if f is not None and None in f]
@@ -184,7 +241,12 @@ class Codec:
             self._learn(list({s for k in holes for s, v in zip(parts[k], found[k], strict=True) if v is None}))
             for k in holes:
                 found[k] = [get(s) if v is None else v for s, v in zip(parts[k], found[k], strict=True)]
-        return [None if f is None else np.frombuffer(b"".join(f), np.int32) for f in found]
+        out = [None if f is None else np.frombuffer(b"".join(f), np.int32) for f in found]
+        if self.model.kind == UNIGRAM:
+            for k, p in enumerate(parts):
+                if p and self._near_tie(p):
+                    out[k] = np.array(self._paths("".join(p), np.float32)[0], np.int32)
+        return out
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
         if ids is None:
