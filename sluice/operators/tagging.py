@@ -40,10 +40,6 @@ def valid(rules: list[Rule]) -> list[Rule]:
     return [r for r in rules if all(map(compiles, r.patterns))]
 
 
-def for_languages(rules: list[Rule], languages: set[str]) -> list[Rule]:
-    return [r for r in rules if r.language in languages | {"DEFAULT", "UNKNOWN"}]
-
-
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     rows = [(r.id, r.name, r.category, list(r.patterns), list(r.domains), r.sensitivity, r.is_sensitive, r.node_type, r.cat_one, r.cat_two, r.language, r.is_external) for r in rules]
     return spark.createDataFrame(rows, RULE_SCHEMA)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.sources._rows import parsed
+from sluice.sources.xml import hocon_rows
 
 PROPERTY = "name string, value string, line int"
 NO_LINE = -1
@@ -75,7 +76,9 @@ def yaml_values(text: str) -> Iterator[tuple[str, str, int]]:
     yield from found
 
 
-PARSERS = {".properties": key_values, ".ini": key_values, ".json": json_values, ".yaml": yaml_values, ".yml": yaml_values}
+PARSERS = {".properties": key_values, ".ini": key_values, ".json": json_values, ".yaml": yaml_values, ".yml": yaml_values, ".conf": hocon_rows}
+# Which formats a language's scan reads.
+FORMATS = {"java": (".properties", ".yaml", ".yml", ".conf"), "kotlin": (".properties", ".yaml", ".yml", ".conf"), "javascript": (".json", ".env", ".yaml", ".yml"), "python": (".env", ".ini", ".yaml", ".yml", ".json"), "ruby": (".env", ".yaml", ".yml"), "go": (".env", ".yaml", ".yml"), "php": (".env", ".yaml", ".yml", ".ini"), "csharp": (".json",)}
 
 
 def read(files: DataFrame, extension: str) -> DataFrame:
@@ -91,3 +94,18 @@ def dotenv(files: DataFrame) -> DataFrame:
     good = lines.where((F.trim("_line") != "") & ~F.col("_line").startswith("#") & F.col("_line").contains("="))
     last = good.select(*keys, parts[0].alias("name"), parts[1].alias("value"), "_at").groupBy(*keys, "name").agg(F.max_by("value", "_at").alias("value"))
     return last.withColumn("line", F.lit(NO_LINE))
+
+
+def read_all(files: DataFrame, language: str) -> DataFrame:
+    """Properties of all files (file, content and more) of the formats that a language's scan reads, one pass for each format."""
+    out = None
+    for ext in FORMATS.get(language, (".properties", ".yaml", ".yml", ".json", ".env", ".ini", ".conf")):
+        own = files.where(F.lower("file").endswith(ext))
+        rows = read(own, ext).select(*[c for c in files.columns if c not in ("content", "name", "value", "line")], "name", "value", "line")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def generated(files: DataFrame, folder: str = "generated-config") -> DataFrame:
+    """Properties of every JSON file under a folder of generated configuration."""
+    return read(files.where(F.col("file").contains(f"/{folder}/") & F.lower("file").endswith(".json")), ".json")

@@ -302,3 +302,25 @@ def test_scan_by_profile(spark):
     times = profiles.pass_times(spark.createDataFrame(list(out.metrics), "name string, seconds double"))
     assert times.count() == len(set(seen))
     assert graph.FIELD_ACCESS and sources.PROFILES
+
+
+def test_commands(spark, tmp_path):
+    from sluice.__main__ import main
+
+    folder(tmp_path / "rules")
+    assert main(["validate", str(tmp_path / "rules")]) == 1
+    p = program(spark, [node(1, "IDENTIFIER", "firstname", type="String"), node(2, "CALL", "save", full="db.save:void()")], [(1, "FLOWS", 2)])
+    for name, df in (("nodes", p.nodes), ("edges", p.edges), ("tags", p.tags), ("properties", properties(spark))):
+        df.write.parquet(str(tmp_path / "in" / f"{name}.parquet"))
+    assert main(["scan", str(tmp_path / "in"), str(tmp_path / "rules"), "go", str(tmp_path / "out")]) == 0
+    doc = spark.read.json(str(tmp_path / "out" / "result")).first()
+    assert doc.repo == "r" and json.loads(doc.sources[0])["id"] == "Data.Name"
+
+
+def test_properties_of_a_language(spark):
+    from sluice.sources import files, properties as props
+
+    df = spark.createDataFrame([("r", "a/b.conf", "x = 1"), ("r", "c.properties", "y=2"), ("r", ".env", "Z=3"), ("r", "p/generated-config/q.json", '{"k": 4}')], "repo string, file string, content string")
+    assert got(props.read_all(df, "java"), "name", "value") == [("x", "1"), ("y", "2")] and got(props.read_all(df, "go"), "name") == [("Z",)]
+    assert got(props.read_all(df, "cobol"), "name") == [("Z",), ("k",), ("x",), ("y",)] and got(props.generated(df), "name", "value") == [("k", "4")]
+    assert got(files.numbered(df.select("file")), "file", "ord") == [(".env", 0), ("a/b.conf", 0), ("c.properties", 0), ("p/generated-config/q.json", 0)]
