@@ -23,7 +23,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
         step = _spark.materialise(step.join(jump, "root").select("node", "old", F.least("root", "far").alias("root")), "labels")
         changed = step.where("root <> old").limit(1).count()
+        _spark.discard(labels)
         labels = step.select("node", "root")
         if not changed:
+            _spark.discard(both)
             return labels
     raise RuntimeError(f"components: labels still change after {max_rounds} rounds")
