@@ -142,7 +142,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[s
 
     chosen = labelled.where(below).select(F.xxhash64("doc_id", F.lit(8)).alias("h"), "lang", "text").mapInArrow(run, "h long, lang string, bits binary")
     got = chosen.orderBy("h", "lang", "bits").limit(2 * rows).collect()
-    return np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), [r["lang"] for r in got]
+    return np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), (1 << BITS) // 8), [r["lang"] for r in got]
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
