@@ -299,7 +299,7 @@ def _packed(chunk: int, ids: pa.Array, held: np.ndarray, data: np.ndarray, offse
     hot = cls >= lexicon.classes
     of, own = doc[hot], cls[hot]
     logp = law[lexicon.group_of(before[hot]), own].astype(np.float64)
-    sums = np.stack([np.bincount(doc, minlength=n), np.bincount(of, by_class[own] > 0, n), np.bincount(of, np.log10(by_class[own] + 1.0), n), np.bincount(of, logp, n)])
+    sums = np.stack([np.bincount(doc, minlength=n), np.bincount(of, by_class[own] > 0, n), np.bincount(of, np.log10(by_class[own] + 1.0), n), np.bincount(of, logp, n)]).astype(np.float64)
     head = zlib.compress(ids.is_null().to_numpy(zero_copy_only=False).tobytes() + held.astype(bool).tobytes() + ids.fill_null(0).to_numpy().tobytes() + sums.tobytes(), 1)
     rows = [(-1 - chunk % MOST_CLASSES, chunk, head, b"", b"", b"", b"", b"")]
     h, doc, before, cls = h[~hot], doc[~hot], before[~hot], cls[~hot]
@@ -307,7 +307,7 @@ def _packed(chunk: int, ids: pa.Array, held: np.ndarray, data: np.ndarray, offse
     h, doc, before, cls = h[order], doc[order].astype(np.uint16), before[order], cls[order]
     flags = n.to_bytes(4, "little") + np.packbits(held.astype(bool)).tobytes()
     edge = np.flatnonzero(np.append(True, cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, np.int64)
-    for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(cls)], strict=True):
+    for i, j in zip(edge.tolist(), np.append(edge[1:], len(cls)).tolist()[: len(edge)], strict=True):
         own = h[i:j]
         start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         runs = np.diff(np.append(start, len(own))).astype(np.uint32)
