@@ -35,7 +35,7 @@ def test_values_of_odd_rows(spark):
     assert {(3, 16, 0), (4, 16, 0), (5, 19, __import__("zlib").crc32(b" \n\t"))} <= plan
     scored = {r.doc_id: r for r in op9_pitman_yor.score_texts(df).collect()}
     assert scored[3].n_tokens == scored[4].n_tokens == scored[5].n_tokens == 1 and scored[2].n_tokens == 121
-    quality = {r.doc_id: r for r in op1_quality.quality_rules(df).collect()}
+    quality = {r.doc_id: r for r in op1_quality.quality_rules(df.withColumn("lang", F.lit("en"))).collect()}
     assert quality[3].n_words == 0 and quality[3].base_failed and not quality[3].kept and quality[2].n_words == 120 and quality[2].n_dup_lines == 0
     trip = {r.doc_id: (None if r.ids is None else len(r.ids), r.decoded) for r in op2_sentencepiece.round_trip(df).collect()}
     assert trip[3] == (None, None) and trip[4] == (0, "") and trip[5][1] == " \n\t"
