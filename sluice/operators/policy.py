@@ -138,8 +138,8 @@ def collection_violations(collections: DataFrame, policies: Sequence[Policy], ma
         if p.end_point:
             rows = rows.where(partial_match(F.col("end_point"), p.end_point))
         ids = (matching if matching is not None else collections).select("source_id").distinct().where(_ids(F.col("source_id"), p.sources))
-        none = ids.limit(1).groupBy().agg(F.count("*").alias("_n"))  # one row: whether any source matches
-        rows = rows.join(ids.withColumn("_hit", F.lit(True)), "source_id", "left").crossJoin(F.broadcast(none)).where("_hit or _n = 0").drop("_hit", "_n")
+        if ids.limit(1).count():  # one number decides, on the driver
+            rows = rows.join(ids, "source_id", "left_semi")
         rows = rows.withColumn("policy_id", F.lit(p.id)).select("policy_id", *collections.columns)
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else collections.withColumn("policy_id", F.lit("")).where(F.lit(False)).select("policy_id", *collections.columns)

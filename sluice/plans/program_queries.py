@@ -16,7 +16,7 @@ from sluice.operators._stage import keep
 from sluice.operators.graph import Program
 from sluice.operators.tagging import Rule
 from sluice.plans.catalogue import _table, query
-from sluice.sources import repository
+from sluice.sources import repository, rules
 
 NODES = """
 SELECT 1000000 + k AS id, 'TYPE_DECL' AS label, 'B' || k AS name, 'class B' || k AS code, 'shop.B' || k AS type_full_name, '' AS method_full_name, CAST(NULL AS INT) AS argument_index, k % 5 = 0 AS is_external, 'src/B' || k || '.java' AS file, 1 AS line, CASE WHEN k % 3 = 1 THEN 'shop.B' || (k - 1) ELSE '' END AS parent FROM (SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) AS k FROM {part}) t
@@ -557,3 +557,51 @@ def permission_groups(spark, sf_dir):
 def merged_rule_matches(spark, sf_dir):
     rows = tagging.match_rows(_table(spark, sf_dir, "events").select("user_id", "event_type").distinct(), [(k, predicates.full_match(F.col("event_type"), k)) for k in ("view", "signup", "click", "error", "purchase")])
     return rows.groupBy(F.col("rule_id").alias("name")).agg(F.count("*").alias("n"))
+
+
+# The catalogue itself
+
+
+@query("SELECT 'Nation.' || n_name AS id, 'sources' AS cat_one, 'REGULAR' AS node_type, '(' || n_name || '|' || lower(n_name) || '.*)' AS pattern, n_nationkey % 2 = 0 AS is_sensitive FROM nation WHERE n_nationkey % 5 <> 4")
+def rules_from_yaml(spark, sf_dir):
+    """A rule for each nation, written as YAML and read as a catalogue; every fifth has a pattern that does not compile."""
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # the rules of a file, 25 short rows
+    text = "sources:\n" + "".join(f"  - id: Nation.{r.n_name}\n    isSensitive: {str(r.n_nationkey % 2 == 0).lower()}\n    patterns: ['{'(' if r.n_nationkey % 5 == 4 else r.n_name}', '{r.n_name.lower()}.*']\n" for r in rows)
+    c = rules.validated(spark, rules.parse(text, "rules/sources/nations.yaml"))
+    found = [(r.id, r.cat_one, r.node_type, r.pattern, r.is_sensitive) for r in c.sources]
+    return spark.createDataFrame(found, "id string, cat_one string, node_type string, pattern string, is_sensitive boolean")
+
+
+_PATTERNS = [("(?<n>a)", True), (r"\p{L}+", True), ("foo|(?i)bar", True), (r"a\z", True), ("(?P<n>a)", False), ("(", False), ("[a", False), (".*(?i)zipCode.*", True)]
+
+
+@query("SELECT pattern, valid FROM (VALUES " + ", ".join(f"('{p}', {str(v).lower()})" for p, v in _PATTERNS) + ") t(pattern, valid)")
+def rule_validity(spark, sf_dir):
+    return spark.createDataFrame([(p, predicates.compiles(p, spark)) for p, _ in _PATTERNS], "pattern string, valid boolean")
+
+
+_NAMED = "SELECT p_partkey AS ord, 'R' || (p_size % 40) AS id, p_brand AS name, p_name AS pattern, p_partkey % 9 = 0 AS is_external FROM {part}"
+
+
+@query(f"WITH r AS ({_sql_name(_NAMED)}) SELECT id, first(name ORDER BY is_external DESC, ord) AS name, string_agg(pattern, ',' ORDER BY is_external DESC, ord) AS patterns FROM r GROUP BY id")
+def merged_rules_of_parts(spark, sf_dir):
+    own = _view(spark, sf_dir, _NAMED).select("ord", "id", "name", F.array("pattern").alias("patterns"), "is_external")
+    return tagging.merge_rules(own).withColumn("patterns", F.array_join("patterns", ","))
+
+
+@query("SELECT l_orderkey AS id, l_suppkey % 5 AS grp, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'R') > 0")
+def semi_filter_groups(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 5).alias("grp"), "l_returnflag")
+    returned = rows.where("l_returnflag = 'R'").select("id", "grp")
+    return predicates.semi(rows, returned, ["id", "grp"]).groupBy("id", "grp").agg(F.count("*").alias("n"))
+
+
+@query(f"{_WITH}, seeds AS (SELECT id FROM nodes WHERE label = 'LITERAL' AND regexp_full_match(code, '[\"]/(view)/.*[\"]')) SELECT n.id, 'Sinks.API.InternalAPI' AS rule_id, l.code AS api_url FROM seeds s JOIN nodes l ON l.id = s.id JOIN nodes n ON n.id = s.id - 20000000 AND n.label = 'CALL'")
+def api_sinks_by_address(spark, sf_dir):
+    """Internal APIs: calls that a literal with an address of the rule flows to."""
+    p = program(spark, sf_dir)
+    links = p.of("LITERAL").select("repo", F.col("id").alias("src"), (F.col("id") - 20000000).alias("dst"), F.lit("FLOWS").alias("label"))
+    own = Program(p.nodes, links, p.tags)
+    rule = Rule(sinks.INTERNAL, ("/view/.*",), cat_one="sinks", node_type="api")
+    seeds = sinks.addresses(own, _properties(spark, sf_dir).limit(0), rule, lambda key: "")
+    return sinks.api_sinks(own, own.calls(), seeds, rule, depth=1).select("id", "rule_id", "api_url")
