@@ -118,7 +118,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, e = np.maximum(starts[i:j], at) - at, np.minimum(ends[i:j], at + len(part)) - at
         own = (total[e] - total[s]) * down[s]
         for k in np.flatnonzero(starts[i:j] < at):  # spans that an earlier chunk began
-            own[k] *= np.uint64(pow(_BASE, at - int(starts[i + k]), 1 << 64))
+            own[k : k + 1] *= np.uint64(pow(_BASE, at - int(starts[i + k]), 1 << 64))  # wraps, as sums of numbers of 64 bits do
         sums[i:j] += own
     return mix(sums + (ends - starts).astype(np.uint64))
 
