@@ -1,7 +1,7 @@
 """A scanned program as tables of nodes, edges and tags, and the steps between them.
 
 All tables carry ``repo``, and every join is on it, so that one job serves many repositories and a repository is never a
-task of its own. Nodes are a sparse table; tags are rows (repo, node_id, name, value) and the only thing that a tagger adds.
+task of its own. Node ids are unique over all of them: reachability goes by id alone. Nodes are a sparse table; tags are rows (repo, node_id, name, value) and the only thing that a tagger adds.
 """
 
 from __future__ import annotations
