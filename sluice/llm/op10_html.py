@@ -1,14 +1,16 @@
 """Main-text extraction from raw pages, with a suffix array over each host's token streams.
 
 A page is read into blocks of text. Menus, headers, footers, sidebars, notices, adverts, forms and comments that the
-markup names are left out, as are scripts, styles and markup. Where a page declares its article (``article``, else
-``main``), the blocks of it are the text, whole: articles may repeat across pages and are no boilerplate for that. What is in
-neither is open, and there the host decides: the token streams of the open blocks of all pages of a host are put together,
+markup names are left out, as are scripts, styles and markup. The token streams of the blocks of all pages of a host are put together,
 their suffixes are ordered by their first ``RUN`` tokens, and neighbours that agree on all of these in two distinct
 pages mark a repeated substring. Covered tokens go; runs of uncovered tokens stay.
 
+A check by the markup follows. Where a page declares its article (``article``, else ``main``), the blocks of it are the text, whole:
+articles may repeat across pages and are no boilerplate for that, so covered tokens of it are put back and what lies outside goes.
+Elsewhere a repeated substring goes if two pages have it outside declared articles; what else only an article holds is a copy of it.
+
 The suffixes are ordered by a hash of (host, first RUN tokens), which keeps equal prefixes together and lets one host lie
-on many tasks; what two pages share is told by the least and greatest page, pre-aggregated before the exchange.
+on many tasks. They travel as packed arrays, a row for each batch of pages and part of the hashes.
 
 Defined cases: null or empty html gives an empty text; html may end anywhere; a null url is a host of its own; rows with
 one page_id are one page to the suffix array, and each keeps its row; other columns stay as they are.
@@ -23,7 +25,7 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import _spark, _text
@@ -175,53 +177,104 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def may_declare() -> Column:
-    """False only for pages that surely declare no article; the others are read to tell."""
-    return F.coalesce(F.col("html").rlike(r"""(?i)<(article|main)[\s/>]|role\s*=\s*["']?main"""), F.lit(False))
+def stream(blocks: list[tuple[str, str]], host: str, run_length: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the suffixes of a page's tokens by their first RUN, the lowest bit set if these are not all in the declared article; and their places."""
+    texts = [t for _, t in blocks]
+    raw = np.frombuffer(" ".join(texts).encode("utf-8", "replace"), np.uint8)
+    tokens = _text.Words(raw, np.array([0, len(raw)]), lower=False).hashes()
+    roles = {r for r, _ in blocks}
+    own = "article" if "article" in roles else "main"
+    outside = np.repeat([r != own for r, _ in blocks], [t.count(" ") + 1 for t in texts])
+    h, at = _text.shingles(tokens, np.array([0, len(tokens)]), run_length)
+    upto = np.append(0, np.cumsum(outside))
+    open_ = upto[at + run_length] > upto[at]
+    return _text.mix(h ^ np.uint64(hash64(host))) & ~np.uint64(1) | open_.astype(np.uint64), at
+
 
+def hash64(text: str) -> int:
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    return int(_text.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
-def suffixes(pages: DataFrame, run_length: int = RUN) -> DataFrame:
-    """key, page_id, at: of every suffix of RUN tokens or more of the blocks of pages."""
+
+def suffixes(pages: DataFrame, parts: int, run_length: int = RUN) -> DataFrame:
+    """part, pages, counts, keys: of the pages of a batch, the keys that fall into a part of all hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids, places = [], [], []
-            for d, url, page in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = blocks_of(page)
-                tokens = np.array([hash64(t) for _, text in found for t in text.split(" ")], np.uint64)
-                h, at = _text.shingles(tokens, np.array([0, len(tokens)]), run_length)
-                keys.append(_text.mix(h ^ np.uint64(hash64(host_of(url)))).view(np.int64))
-                ids.append(np.full(len(at), d, np.int64))
-                places.append(at.astype(np.int64))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([cat(keys), cat(ids), cat(places)], ["key", "page_id", "at"])
+            found = [stream(blocks_of(page), host_of(url), run_length)[0] for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            keys = np.concatenate([np.zeros(0, np.uint64), *found])
+            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = []
+            for p in np.flatnonzero(np.diff(edge)):
+                own = order[edge[p] : edge[p + 1]]
+                some, counts = np.unique(of[own], return_counts=True)
+                rows.append((int(p), ids[some].tobytes(), counts.astype(np.int32).tobytes(), keys[own].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "pages", "counts", "keys"])
 
     rows = pages.where(F.col("page_id").isNotNull()).select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInArrow(run, "key long, page_id long, at long")
-
-
-def hash64(text: str) -> int:
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    return int(_text.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+    return rows.mapInArrow(run, "part int, pages binary, counts binary, keys binary")
 
 
 def covered_places(pages: DataFrame, run_length: int = RUN) -> DataFrame:
-    """page_id, places: where a repeated substring starts on the page."""
-    rows = suffixes(pages, run_length)
-    shared = rows.groupBy("key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("key")
-    return rows.join(shared, "key").groupBy(F.col("page_id").alias("_page")).agg(F.collect_set("at").alias("_places"))
-
+    """_page, _places: keys of the repeated substrings of a page, the lowest bit set if two pages have it outside declared articles."""
+    n = _spark.partitions(pages.sparkSession)
+
+    def repeated(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        page = np.concatenate([np.repeat(np.frombuffer(p, np.int64), np.frombuffer(c, np.int32)) for p, c, _ in rows])
+        key = np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in rows])
+        order = np.lexsort((page, key >> np.uint64(1)))
+        page, key = page[order], key[order]
+        one, out = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
+
+        def shared(use: np.ndarray) -> np.ndarray:
+            k, p = one[use], page[use]
+            return np.unique(k[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])])  # by key and page: two pages are neighbours somewhere
+
+        every, open_ = shared(np.ones(len(key), bool)), shared(out)
+        at = np.flatnonzero(np.isin(one, every))
+        value = (one[at] << np.uint64(1)) | np.isin(one[at], open_).astype(np.uint64)
+        by = np.argsort(page[at], kind="stable")
+        ids, first = np.unique(page[at][by], return_index=True)
+        packed = [x.tobytes() for x in np.split(value[by], first[1:])] if len(ids) else []
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["_page", "_keys"])
 
-def unique_runs(blocks: list[tuple[str, str]], places: list[int] | None, run_length: int = RUN) -> list[str]:
-    """The blocks less the tokens that repeated substrings cover."""
-    out, at = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for b in batches:
+            for p, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != last and rows:
+                    yield repeated(rows)
+                    rows = []
+                last = p
+                rows.append(row)
+        if rows:
+            yield repeated(rows)
+
+    dealt = suffixes(pages, 4 * n, run_length).repartition(n, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "_page long, _keys binary").groupBy("_page").agg(F.collect_list("_keys").alias("_places"))
+
+
+def unique_runs(blocks: list[tuple[str, str]], host: str, repeated: list[bytes] | None, run_length: int = RUN) -> list[str]:
+    """The blocks less the tokens that repeated substrings cover; of a declared article all of it, and no more."""
+    own = declared(blocks)
+    if own is not None:  # the check: what is covered in it is put back
+        return own
+    keys, at = stream(blocks, host, run_length)
+    found = np.frombuffer(b"".join(repeated or ()), np.uint64)
     gone: set[int] = set()
-    for p in places or ():
+    for p in at[np.isin(keys | np.uint64(1), found)]:  # keys without the lowest bit are repeated in articles alone: put back too
         gone.update(range(p, p + run_length))
+    out, n = [], 0
     for _, text in blocks:
         tokens = text.split(" ")
-        kept = " ".join(t for k, t in enumerate(tokens, at) if k not in gone)
-        at += len(tokens)
+        kept = " ".join(t for k, t in enumerate(tokens, n) if k not in gone)
+        n += len(tokens)
         if kept:
             out.append(kept)
     return out
@@ -231,34 +284,21 @@ def main_text(pages: DataFrame, run_length: int = RUN) -> DataFrame:
     """All columns of ``pages`` with text and n_chars (which replace columns of these names)."""
     kept = pages.drop("text", "n_chars")
     width, cols = len(kept.columns), kept.columns
-    at = cols.index("html")
+    at, url_at = cols.index("html"), cols.index("url")
     page_name, places_name = _spark.fresh(cols, "_page", "_places")
     schema = kept.select("*", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
-    def undeclared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([declared(blocks_of(page)) is None for page in b.column(at).to_pylist()], pa.bool_()))
-
-    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [declared(blocks_of(page)) for page in b.column(at).to_pylist()]
-            texts = ["\n\n".join(x) for x in own if x is not None]
-            found = b.filter(pa.array([x is not None for x in own], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["\n\n".join(unique_runs(blocks_of(page), places, run_length)) for page, places in zip(b.column(at).to_pylist(), b.column(width).to_pylist(), strict=True)]
+            rows = zip(b.column(at).to_pylist(), b.column(url_at).to_pylist(), b.column(width).to_pylist(), strict=True)
+            texts = ["\n\n".join(unique_runs(blocks_of(page), host_of(url), places, run_length)) for page, url, places in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    maybe = kept.where(may_declare())
-    # Pages whose article is a comment, a script, empty or left out: few, and put with those that declare none.
-    rest = kept.where(~may_declare()).unionByName(_spark.materialise(maybe.mapInArrow(undeclared, kept.schema), "pages"))
-    places = covered_places(rest, run_length).withColumnsRenamed({"_page": page_name, "_places": places_name})
-    named = rest.where(F.col("page_id").isNotNull())
+    places = covered_places(kept, run_length).withColumnsRenamed({"_page": page_name, "_places": places_name})
+    named = kept.where(F.col("page_id").isNotNull())
     joined = named.join(places, named["page_id"].cast("long") == places[page_name], "left").select(*[named[c] for c in cols], places_name)
-    nameless = rest.where(F.col("page_id").isNull()).withColumn(places_name, F.lit(None).cast("array<bigint>"))
-    return maybe.mapInArrow(articles, schema).unionByName(joined.unionByName(nameless).mapInArrow(runs, schema))
+    nameless = kept.where(F.col("page_id").isNull()).withColumn(places_name, F.lit(None).cast("array<binary>"))
+    return joined.unionByName(nameless).mapInArrow(runs, schema)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,15 @@ def test_repeated_substrings_equal_brute_force(spark):
         assert got[k].replace("\n\n", " ") == " ".join(t for p, t in enumerate(own) if p not in gone)
 
 
+def test_pages_with_declared_articles_are_in_the_streams_of_their_host(spark):
+    notice, news = ("<div>one line of eight words that this host repeats</div>", "<p>the news of the day in ten words or so here</p>")
+    rows = [(1, "http://h/a", f"{notice}<article>{news}</article>"), (2, "http://h/b", f"{notice}<p>own text</p>"), (3, "http://h/c", f"<div>{news}</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = "the news of the day in ten words or so here"
+    assert {r.page_id: r.text for r in op10_html.main_text(pages).collect()} == {1: plain, 2: "own text", 3: plain}
+    assert {r["_page"] for r in op10_html.covered_places(pages).collect()} == {1, 2, 3}
+
+
 def test_shards_hold_every_row_once(spark, tmp_path):
     rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, None, None), (7, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, size string").withColumn("shard", F.lit("old"))
