@@ -9,8 +9,9 @@ A check by the markup follows. Where a page declares its article (``article``, e
 articles may repeat across pages and are no boilerplate for that, so covered tokens of it are put back and what lies outside goes.
 Elsewhere a repeated substring goes if two pages have it outside declared articles; what else only an article holds is a copy of it.
 
-The suffixes are ordered by a hash of (host, first RUN tokens), which keeps equal prefixes together and lets one host lie
-on many tasks. They travel as packed arrays, a row for each batch of pages and part of the hashes.
+The suffixes are ordered by a hash of (host, first RUN tokens). The pages of a host of up to ``HOST_BYTES`` of html are dealt to one task, which
+orders the suffixes there, so that only the pages travel. A larger host lies on many tasks: its suffixes travel as packed arrays, a row for
+each batch of pages and part of the hashes, and the repeated ones come back, a row for each part and bucket of pages.
 
 Defined cases: null or empty html gives an empty text; html may end anywhere; a null url is a host of its own; rows with
 one page_id are one page to the suffix array, and each keeps its row; other columns stay as they are.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from sluice.llm import _spark, _text
 
 RUN = 8  # tokens that a repeated substring has at least
+HOST_BYTES, CHUNK_BYTES = 16 << 20, 8 << 20  # of html: of a host within one task; of hosts that a task takes together
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -221,43 +223,75 @@ def suffixes(pages: DataFrame, parts: int, run_length: int = RUN) -> DataFrame:
     return rows.mapInArrow(run, "part int, pages binary, counts binary, keys binary")
 
 
+def repeated(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Pages, and of each its keys that another page has too, the lowest bit set if two pages have it outside declared articles."""
+    order = np.lexsort((page, key >> np.uint64(1)))
+    page, key = page[order], key[order]
+    one, out = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
+
+    def shared(use: np.ndarray) -> np.ndarray:
+        k, p = one[use], page[use]
+        return np.unique(k[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])])  # by key and page: two pages are neighbours somewhere
+
+    every, open_ = shared(np.ones(len(key), bool)), shared(out)
+    at = np.flatnonzero(np.isin(one, every))
+    value = (one[at] << np.uint64(1)) | np.isin(one[at], open_).astype(np.uint64)
+    by = np.argsort(page[at], kind="stable")
+    ids, first = np.unique(page[at][by], return_index=True)
+    return ids, [x.tobytes() for x in np.split(value[by], first[1:])] if len(ids) else []
+
+
 def covered_places(pages: DataFrame, run_length: int = RUN) -> DataFrame:
     """_page, _places: keys of the repeated substrings of a page, the lowest bit set if two pages have it outside declared articles."""
     n = _spark.partitions(pages.sparkSession)
 
-    def repeated(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+    def of_part(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, list[bytes]]:
         page = np.concatenate([np.repeat(np.frombuffer(p, np.int64), np.frombuffer(c, np.int32)) for p, c, _ in rows])
-        key = np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in rows])
-        order = np.lexsort((page, key >> np.uint64(1)))
-        page, key = page[order], key[order]
-        one, out = key >> np.uint64(1), (key & np.uint64(1)).astype(bool)
-
-        def shared(use: np.ndarray) -> np.ndarray:
-            k, p = one[use], page[use]
-            return np.unique(k[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])])  # by key and page: two pages are neighbours somewhere
-
-        every, open_ = shared(np.ones(len(key), bool)), shared(out)
-        at = np.flatnonzero(np.isin(one, every))
-        value = (one[at] << np.uint64(1)) | np.isin(one[at], open_).astype(np.uint64)
-        by = np.argsort(page[at], kind="stable")
-        ids, first = np.unique(page[at][by], return_index=True)
-        packed = [x.tobytes() for x in np.split(value[by], first[1:])] if len(ids) else []
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["_page", "_keys"])
+        return repeated(page, np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in rows]))
+
+    def packed(found: list[tuple[np.ndarray, list[bytes]]]) -> pa.RecordBatch:
+        """A row for each bucket of pages: pages, counts of keys, keys."""
+        ids = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
+        keys = [k for _, own in found for k in own]
+        bucket = (_text.mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+        rows = []
+        for b in np.unique(bucket):
+            own = np.flatnonzero(bucket == b)
+            rows.append((int(b), ids[own].tobytes(), np.array([len(keys[k]) for k in own], np.int32).tobytes(), b"".join(keys[k] for k in own)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "pages", "counts", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
+        last, rows, found, size = None, [], [], 0
         for b in batches:
             for p, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if p != last and rows:
-                    yield repeated(rows)
+                    found.append(of_part(rows))
+                    size += sum(map(len, found[-1][1]))
                     rows = []
+                    if size > CHUNK_BYTES:
+                        yield packed(found)
+                        found, size = [], 0
                 last = p
                 rows.append(row)
         if rows:
-            yield repeated(rows)
+            found.append(of_part(rows))
+        if found:
+            yield packed(found)
+
+    def by_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[bytes]] = {}
+        for b in batches:
+            for ids, counts, keys in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                upto = np.cumsum(np.frombuffer(counts, np.int32))
+                for page, k, size in zip(np.frombuffer(ids, np.int64).tolist(), upto.tolist(), np.frombuffer(counts, np.int32).tolist(), strict=True):
+                    own.setdefault(page, []).append(keys[k - size : k])
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(own.values(), pa.list_(pa.binary()))], ["_page", "_places"])
 
     dealt = suffixes(pages, 4 * n, run_length).repartition(n, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "_page long, _keys binary").groupBy("_page").agg(F.collect_list("_keys").alias("_places"))
+    back = dealt.mapInArrow(run, "bucket int, pages binary, counts binary, keys binary").repartition(n, "bucket")
+    return back.mapInArrow(by_page, "_page long, _places array<binary>")
 
 
 def unique_runs(blocks: list[tuple[str, str]], host: str, repeated: list[bytes] | None, run_length: int = RUN) -> list[str]:
@@ -294,11 +328,64 @@ def main_text(pages: DataFrame, run_length: int = RUN) -> DataFrame:
             texts = ["\n\n".join(unique_runs(blocks_of(page), host_of(url), places, run_length)) for page, url, places in rows]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    places = covered_places(kept, run_length).withColumnsRenamed({"_page": page_name, "_places": places_name})
+    host_name = _spark.fresh([*cols, page_name, places_name], "_host")[0]
+    id_at = cols.index("page_id")
+
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_signed(host_of(u)) for u in b.column(url_at).to_pylist()], pa.int64())], [*cols, host_name])
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_signed(host_of(u)) for u in b.column(0).to_pylist()], pa.int64()), b.column(1)], ["host", "bytes"])
+
+    def chunk(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [[blocks_of(page) for page in b.column(at).to_pylist()] for b in parts]
+        names = [[host_of(url) for url in b.column(url_at).to_pylist()] for b in parts]
+        ids = [b.column(id_at).to_pylist() for b in parts]
+        keys = [stream(x, host, run_length)[0] for own, of in zip(blocks, names, strict=True) for x, host in zip(own, of, strict=True)]
+        page = np.repeat(np.array([i for own in ids for i in own], np.int64), [len(x) for x in keys])
+        found, packed = repeated(page, np.concatenate(keys))
+        places = dict(zip(found.tolist(), packed, strict=True))
+        for b, own, of, pages_ in zip(parts, blocks, names, ids, strict=True):
+            texts = ["\n\n".join(unique_runs(x, host, [places[i]] if i in places else None, run_length)) for x, host, i in zip(own, of, map(int, pages_), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
+
+    def whole_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, last = [], 0, None
+        for b in batches:
+            host = b.column(width).to_numpy()
+            length = np.cumsum(np.append(0, [len(x or "") for x in b.column(at).to_pylist()]))
+            edge = np.append(np.flatnonzero(np.append(True, host[1:] != host[:-1])), len(host)) if len(host) else np.zeros(1, np.int64)
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if size > CHUNK_BYTES and host[i] != last:  # keys hold the host, so hosts may go together, but each whole
+                    yield from chunk(parts)
+                    parts, size = [], 0
+                parts.append(b.slice(i, j - i))
+                size, last = size + int(length[j] - length[i]), host[i]
+        if parts:
+            yield from chunk(parts)
+
     named = kept.where(F.col("page_id").isNotNull())
-    joined = named.join(places, named["page_id"].cast("long") == places[page_name], "left").select(*[named[c] for c in cols], places_name)
     nameless = kept.where(F.col("page_id").isNull()).withColumn(places_name, F.lit(None).cast("array<binary>"))
-    return joined.unionByName(nameless).mapInArrow(runs, schema)
+    html_size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    size_of = named.select("url", html_size.alias("bytes")).mapInArrow(sizes, "host long, bytes long").groupBy("host").agg(F.sum("bytes").alias("bytes"))
+    large = [r["host"] for r in size_of.where(F.col("bytes") > HOST_BYTES).select("host").collect()]  # no more than HOST_BYTES go into the html
+    tagged = named.mapInArrow(hosts, named.withColumn(host_name, F.lit(0).cast("long")).schema)
+    is_large = F.col(host_name).isin(large) if large else F.lit(False)
+    near = tagged.where(~is_large).repartition(_spark.partitions(pages.sparkSession), host_name).sortWithinPartitions(host_name)
+    out = near.mapInArrow(whole_hosts, schema)
+    rest = nameless
+    if large:
+        far = tagged.where(is_large).drop(host_name)
+        places = covered_places(far, run_length).withColumnsRenamed({"_page": page_name, "_places": places_name})
+        joined = far.join(places, far["page_id"].cast("long") == places[page_name], "left").select(*[far[c] for c in cols], places_name)
+        rest = joined.unionByName(nameless)
+    return out.unionByName(rest.mapInArrow(runs, schema))
+
+
+def _signed(host: str) -> int:
+    return hash64(host) - (1 << 63)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,29 @@ def test_pages_with_declared_articles_are_in_the_streams_of_their_host(spark):
     assert {r["_page"] for r in op10_html.covered_places(pages).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("most", [0, 2000, 1 << 30])
+def test_hosts_in_one_task_and_in_many_give_the_same_text(spark, monkeypatch, most):
+    monkeypatch.setattr(op10_html, "HOST_BYTES", most)
+    monkeypatch.setattr(op10_html, "CHUNK_BYTES", 100)
+    line = "one line of eight words that this host repeats"
+    rows = [(k, f"http://h{k % 3 if k < 20 else 3}/", f"<p>{line} w{k}</p><article>a{k}</article>" if k % 5 == 0 else f"<p>{line} w{k}</p>") for k in range(60)]
+    rows += [(60, "http://alone/", f"<p>{line}</p>"), (61, "http://twin/", f"<p>{line} x</p>"), (61, "http://twin/", f"<p>{line} y</p>"), (None, "http://h0/", f"<p>{line}</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = sorted(((r.page_id or 0) if r.page_id is not None else -1, r.text) for r in op10_html.main_text(df).collect())
+    want = [(k, f"a{k}" if k % 5 == 0 else f"w{k}") for k in range(60)] + [(60, line), (61, f"{line} x"), (61, f"{line} y"), (-1, line)]
+    assert got == sorted(want)
+    if most > 2000:  # only the pages are dealt, not their suffixes
+        plan = op10_html.main_text(df)._jdf.queryExecution().executedPlan().toString()
+        assert "_keys" not in plan and "counts" not in plan
+
+
+def test_repeated_substrings_come_back_by_bucket(spark):
+    text = "<p>one line of eight words that this host repeats and as many words again after it</p>"
+    pages = spark.createDataFrame([(k, "http://h/", text) for k in range(50)], "page_id long, url string, html string")
+    back = op10_html.covered_places(pages).collect()
+    assert sorted(r["_page"] for r in back) == list(range(50))
+
+
 def test_shards_hold_every_row_once(spark, tmp_path):
     rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, None, None), (7, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, size string").withColumn("shard", F.lit("old"))
