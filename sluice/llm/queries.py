@@ -17,11 +17,13 @@ from sluice.llm.op7_passages import op7_passages
 from sluice.llm.op8_language import op8_language
 from sluice.llm.op9_pitman_yor import op9_pitman_yor
 from sluice.llm.op10_html import op10_html
+from sluice.llm.op11_prefix_trie import op11_prefix_trie
+from sluice.llm.op12_jaccard import op12_jaccard
 from sluice.llm.op13_spelling import op13_spelling
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality, op2_sentencepiece, op3_lines, op4_simhash, op5_sharding, op6_decontamination, op7_passages, op8_language, op9_pitman_yor, op10_html, op13_spelling)
+    every = (op1_quality, op2_sentencepiece, op3_lines, op4_simhash, op5_sharding, op6_decontamination, op7_passages, op8_language, op9_pitman_yor, op10_html, op11_prefix_trie, op12_jaccard, op13_spelling)
     return {f.__name__: f for f in every}
 
 
