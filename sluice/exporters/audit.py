@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.operators import flows as flow_ops
+from sluice.operators.calls import reach_by_calls
 from sluice.operators.graph import Program
 from sluice.operators.predicates import full_match
 from sluice.operators.sinks import dependency_categories
@@ -122,13 +123,13 @@ def dependencies(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rows.unionByName(inside).distinct()
 
 
-def unresolved_flows(program: Program, sources: DataFrame, depth: int = 4) -> DataFrame:
+def unresolved_flows(program: Program, sources: DataFrame, semantics: DataFrame | None = None) -> DataFrame:
     """(repo, source_id, sink, path_id, code): flows of tagged sources to calls of an unresolved namespace, sub-flows left out."""
     sinks = program.of("CALL").where(F.col("method_full_name").contains("unresolvedNamespace"))
-    found = flow_ops.unique_paths(flow_ops.reach(program.edges.where("label = 'FLOWS'").select("src", "dst"), sources.select("id"), sinks.select("id"), depth))
-    ids = program.tags.where((F.col("name") == "id") & ~F.col("value").startswith("derived_")).select(F.col("node_id").alias("source"), F.col("value").alias("source_id"))
+    found = flow_ops.unique_paths(reach_by_calls(program, sources.select("repo", "id"), sinks.select("repo", "id"), semantics))
+    ids = program.tags.where((F.col("name") == "id") & ~F.col("value").startswith("derived_")).select("repo", F.col("node_id").alias("source"), F.col("value").alias("source_id"))
     last = sinks.select("repo", F.col("id").alias("sink"), F.col("method_full_name").alias("sink_name"), "code")
-    return found.join(ids, "source").join(last, "sink").select("repo", "source_id", F.col("sink_name").alias("sink"), flow_ops.path_id(F.col("path")).alias("path_id"), "code").distinct()
+    return found.join(ids, ["repo", "source"]).join(last, ["repo", "sink"]).select("repo", "source_id", F.col("sink_name").alias("sink"), flow_ops.path_id(F.col("path")).alias("path_id"), "code").distinct()
 
 
 def unresolved_methods(program: Program) -> DataFrame:

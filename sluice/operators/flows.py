@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators import calls
+from sluice.operators._stage import keep
+from sluice.operators.calls import EngineContext
+
 
 def path_id(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda x: x.cast("string")), "-")
@@ -96,14 +100,14 @@ def unique_paths(paths: DataFrame) -> DataFrame:
 # From paths to flows of the store
 
 
-def source_nodes(program, second_level: bool = True) -> DataFrame:
-    """Nodes that flows may start at: of the data labels, tagged as source or derived, and not disabled by a declaration.
+def source_nodes(program, all_derived: bool = True) -> DataFrame:
+    """Nodes that are data elements: of the data labels, tagged as source or derived, and not disabled by a declaration.
 
-    Without ``second_level`` of the derived ones only objects known by a member's name.
+    Without ``all_derived`` of the derived ones only objects known by a member's name: those that flows start at.
     """
     own = program.of("LITERAL", "IDENTIFIER", "CALL", "FIELD_IDENTIFIER", "MEMBER")
     kinds = program.tags.where("name = 'catLevelOne'").where(F.col("value").isin("sources", "DerivedSources")).select("repo", F.col("node_id").alias("id"), F.col("value").alias("kind"))
-    if not second_level:
+    if not all_derived:
         first = program.tags.where("name = 'OBJECT_OF_SENSITIVE_CLASS_BY_MEMBER_NAME'").select("repo", F.col("node_id").alias("id")).distinct()
         kinds = kinds.where("kind = 'sources'").select("repo", "id").unionByName(first)
     found = own.join(kinds.select("repo", "id").distinct(), ["repo", "id"], "left_semi")
@@ -115,17 +119,17 @@ def sink_nodes(program, limit: int | None = None) -> DataFrame:
     found = program.tagged(program.of("CALL", "HIGHTOUCH_SINK"), "catLevelOne", "sinks")
     if limit is None:
         return found
-    first = found.groupBy("repo").agg(F.slice(F.array_sort(F.collect_list("id")), 1, limit).alias("ids"))  # the limit bounds what is used, ids alone are collected
-    return found.join(first.select("repo", F.explode("ids").alias("id")), ["repo", "id"], "left_semi")
+    first = found.select("repo", "id").withColumn("_rank", F.row_number().over(Window.partitionBy("repo").orderBy("id"))).where(F.col("_rank") <= limit)  # groups are cut before the exchange
+    return found.join(first.select("repo", "id"), ["repo", "id"], "left_semi")
 
 
-def expand(flows: DataFrame, tags: DataFrame, sink_kinds: DataFrame, second_level: bool = True) -> DataFrame:
+def expand(flows: DataFrame, tags: DataFrame, sink_kinds: DataFrame, all_derived: bool = False) -> DataFrame:
     """(repo, source_id, sink_id, sink_sub_category, sink_node_type, path_id, path): a row for each source tag of a path's first node and each sink tag of its last.
 
     ``sink_kinds`` has the distinct (cat_two, node_type) of the sink rules; the sink tag of a kind is named by both together.
     """
     first = flows.select("repo", "path_id", "path", F.element_at("path", 1).alias("node_id"))
-    derived = F.col("name").startswith("derived_by_") if not second_level else F.col("name") == "OBJECT_OF_SENSITIVE_CLASS_BY_MEMBER_NAME"
+    derived = F.col("name").startswith("derived_by_") if all_derived else F.col("name") == "OBJECT_OF_SENSITIVE_CLASS_BY_MEMBER_NAME"
     source = tags.where(((F.col("name") == "id") & ~F.col("value").startswith("derived_")) | derived).select("repo", "node_id", F.col("value").alias("source_id")).distinct()
     kinds = F.broadcast(sink_kinds.select("cat_two", "node_type").distinct().withColumn("name", F.concat("cat_two", "node_type")))  # kinds of rules, a handful
     sink = tags.join(kinds, "name").select("repo", "node_id", F.col("value").alias("sink_id"), F.col("cat_two").alias("sink_sub_category"), F.col("node_type").alias("sink_node_type")).distinct()
@@ -217,24 +221,26 @@ def store(program, flows: DataFrame, *, dedup: bool = True) -> DataFrame:
     return own.unionByName(exempt)
 
 
-def dataflow(program, sink_rules, source_patterns: dict[str, str], *, language: str = "java", depth: int = 4, second_level: bool = True, separate: bool = True, dedup: bool = True, limit: int | None = None) -> dict[str, DataFrame]:
-    """All stages from reachability to the store, each written once: unfiltered, this, expanded, filtered and final."""
-    from sluice.operators._stage import keep
+def dataflow(program, sink_rules, source_patterns: dict[str, str], *, language: str = "java", semantics: DataFrame | None = None, context: EngineContext | None = None, all_derived: bool = False, separate: bool = True, dedup: bool = True, limit: int | None = None, more: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All stages from reachability to the store, each written once: unfiltered, this, expanded, filtered and final.
 
-    edges = program.edges.where("label = 'FLOWS'").select("src", "dst")
-    sources, sinks = source_nodes(program, second_level), sink_nodes(program, limit)
-    found = reach(edges, sources.select("id"), sinks.select("id"), depth).join(sinks.select("repo", F.col("id").alias("sink")), "sink")
+    Flows start at sources and at objects known by a member's name, unless ``all_derived``; calls are followed by ``context`` and stand for what ``semantics`` say.
+    ``more`` are flows of reads, messages and syncs, which no path search finds and no de-duplication touches.
+    """
+    sources, sinks = source_nodes(program, all_derived), sink_nodes(program, limit)
+    found = calls.reach_by_calls(program, sources.select("repo", "id"), sinks.select("repo", "id"), semantics, context or calls.engine_context(language))
     raw = keep(found.withColumn("path_id", path_id(F.col("path"))), "paths")
     kept = raw
     if language in ("java", "javascript"):
         kept = keep(this_filter(raw, this_nodes(program)), "this")
     kinds = program.nodes.sparkSession.createDataFrame(sorted({(r.cat_two, r.node_type) for r in sink_rules}), "cat_two string, node_type string")
-    wide = keep(expand(kept, program.tags, kinds, second_level), "expanded")
+    wide = keep(expand(kept, program.tags, kinds, all_derived), "expanded")
     if separate and language in ("java", "javascript"):
         narrow = without_cookies(without_false_positives(consumed(program, overlapping(program, wide), source_patterns)))
     else:
         narrow = without_cookies(wide)
-    narrow = keep(narrow, "filtered")
+    narrow = narrow.withColumn("apply_dedup", F.lit(True))
+    narrow = keep(narrow if more is None else narrow.unionByName(more.select(*narrow.columns)), "filtered")
     return {"unfiltered": raw, "this": kept, "expanded": wide, "filtered": narrow, "final": keep(store(program, narrow, dedup=dedup), "flows")}
 
 

@@ -56,9 +56,10 @@ class Program:
     def with_edges(self, more: DataFrame) -> Program:
         return replace(self, edges=self.edges.unionByName(more.select("repo", "src", "dst", "label")).distinct())
 
-    def kept(self) -> Program:
-        """With tags and edges written to the shared folder: later steps read tables, not the plans of all steps before."""
-        return replace(self, tags=keep(self.tags, "tags"), edges=keep(self.edges, "edges"))
+    def kept(self, since: Program | None = None) -> Program:
+        """With tags and edges written to the shared folder: later steps read tables, not the plans of all steps before. Those of ``since`` are there already."""
+        own = lambda name: getattr(self, name) if since is not None and getattr(self, name) is getattr(since, name) else keep(getattr(self, name), name)
+        return replace(self, tags=own("tags"), edges=own("edges"))
 
     # Steps
 
@@ -129,17 +130,26 @@ def derived_sources(program: Program, sources: DataFrame) -> DataFrame:
     return program.hop(sources.select("repo", "id"), "DERIVED_SOURCE", to="derived_id")
 
 
-def climb(program: Program, nodes: DataFrame, until: Column, label: str = "AST", depth: int = 8) -> DataFrame:
-    """(id, reached): from each node up the edges to the nearest ancestor of which ``until`` holds, or the last one within ``depth``."""
-    front = nodes.select("repo", "id", F.col("id").alias("at"), F.lit(False).alias("done"))
-    parent = program.edges.where(F.col("label") == label).groupBy("repo", F.col("dst").alias("at")).agg(F.min("src").alias("up"))
-    good = program.nodes.select("repo", F.col("id").alias("up"), F.coalesce(until, F.lit(False)).alias("good"))
-    step = parent.join(good, ["repo", "up"])
-    for _ in range(depth):
-        moved = front.join(step, ["repo", "at"], "left")
-        go = ~F.col("done") & F.col("up").isNotNull()
-        front = moved.select("repo", "id", F.when(go, F.col("up")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("good")).otherwise(F.col("done")).alias("done"))
-    return front.select("repo", "id", F.col("at").alias("reached"), F.col("done").alias("found"))
+def climb(program: Program, nodes: DataFrame, until: Column, label: str = "AST") -> DataFrame:
+    """(id, reached, found): from each node up the edges to the nearest ancestor of which ``until`` holds, or to the last one.
+
+    Pointers double: after k joins a node points 2**k levels up, unless it has met such an ancestor before, so 1,000 levels take ten joins. A node
+    whose ways up go in a circle is not found.
+    """
+    parent = program.edges.where(F.col("label") == label).groupBy("repo", F.col("dst").alias("id")).agg(F.min("src").alias("at"))
+    good = program.nodes.select("repo", F.col("id").alias("at"), F.coalesce(until, F.lit(False)).alias("found"))
+    up = keep(parent.join(good, ["repo", "at"]), "climb")
+    levels, covered = up.count(), 1
+    while covered <= levels:
+        onward = up.select("repo", F.col("id").alias("at"), F.col("at").alias("_at"), F.col("found").alias("_found"))
+        stays = F.col("found") | F.col("_at").isNull()
+        up = keep(up.join(onward, ["repo", "at"], "left").select("repo", "id", F.when(stays, F.col("at")).otherwise(F.col("_at")).alias("at"), F.when(stays, F.col("found")).otherwise(F.col("_found")).alias("found"), (~stays).alias("_moved")), "climb")
+        covered *= 2
+        if up.where("_moved").isEmpty():
+            break
+        up = up.drop("_moved")
+    own = nodes.select("repo", "id").distinct().join(up.select("repo", "id", "at", "found"), ["repo", "id"], "left")
+    return own.select("repo", "id", F.coalesce("at", "id").alias("reached"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def called_within(program: Program, methods: DataFrame, depth: int = 4) -> DataFrame:
@@ -194,7 +204,11 @@ def table_of_classes(program: Program) -> DataFrame:
 
 
 def class_of_table(types: DataFrame, tables: DataFrame) -> DataFrame:
-    """(repo, table_name, type_full_name): the first class by full name that ends in the table's name, whatever the case."""
-    t = types.select("repo", "type_full_name", F.lower("type_full_name").alias("_low"))
-    found = tables.select("repo", "table_name").distinct().join(t, "repo").where(F.col("_low").endswith(F.lower("table_name")))
-    return found.groupBy("repo", "table_name").agg(F.min("type_full_name").alias("type_full_name"))
+    """(repo, table_name, type_full_name): the first class by full name that ends in the table's name, whatever the case.
+
+    Classes are met by their suffixes, an equi-join; names are short, and an empty table name has no class.
+    """
+    low = F.lower("type_full_name")
+    ends = types.select("repo", "type_full_name").distinct().select("repo", "type_full_name", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda k: F.right(low, k))).alias("_end"))
+    wanted = tables.select("repo", "table_name").distinct().withColumn("_end", F.lower("table_name")).where("_end <> ''")
+    return wanted.join(ends, ["repo", "_end"]).groupBy("repo", "table_name").agg(F.min("type_full_name").alias("type_full_name"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import scalars as fn
 from sluice.operators import graph
+from sluice.operators._stage import keep
 from sluice.operators.graph import Program
 from sluice.operators.predicates import full_match
 
@@ -209,20 +210,52 @@ def link_by_hints(program: Program) -> DataFrame:
     return wanted.join(methods, ["repo", "method_full_name"]).select("repo", F.col("id").alias("src"), "dst", F.lit("CALL").alias("label")).distinct()
 
 
-def recovered_types(program: Program, rounds: int = 3) -> DataFrame:
-    """Nodes with type hints spread along assignments: a variable has the types that it is assigned, in its file, a round for each copy in a chain."""
-    given = program.arguments(program.operators(graph.ASSIGNMENT)).join(program.of("CALL").select("repo", "id", "file"), ["repo", "id"])
-    left = given.where("arg_argument_index = 1 and arg_label = 'IDENTIFIER'").select("repo", "id", "file", F.col("arg_name").alias("name"))
-    right = given.where("arg_argument_index = 2").select("repo", "id", F.col("arg_label").alias("r_label"), F.col("arg_name").alias("r_name"), F.col("arg_type_full_name").alias("type"))
-    pairs = left.join(right, ["repo", "id"])
-    known = pairs.where(F.coalesce("type", F.lit("ANY")).isin("", "ANY") == F.lit(False)).select("repo", "file", "name", "type").distinct()
-    copies = pairs.where("r_label = 'IDENTIFIER'").select("repo", "file", "name", "r_name")
-    for _ in range(rounds):
-        known = known.unionByName(copies.join(known.withColumnRenamed("name", "r_name"), ["repo", "file", "r_name"]).select("repo", "file", "name", "type")).distinct()
-    hints = known.groupBy("repo", "file", "name").agg(F.array_sort(F.collect_set("type")).alias("_found"))
-    nodes = program.nodes.join(hints, ["repo", "file", "name"], "left")
+def type_slots(program: Program) -> tuple[DataFrame, DataFrame]:
+    """(repo, slot, type) as written, and copies (repo, slot, origin).
+
+    A slot is a variable or a field of a file, or the result of a method: ``v|file|name``, ``f|file|name``, ``r|full name``. A variable or field has the
+    types of what is assigned to it; a method's result those of what it returns.
+    """
+    slot = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *parts)
+    fields = program.field_accesses().select("repo", F.col("id").alias("value_id"), "field")
+    methods = program.edges.where("label = 'CALL'").select("repo", F.col("src").alias("value_id"), F.col("dst").alias("id")).join(program.of("METHOD").select("repo", "id", "method_full_name"), ["repo", "id"]).groupBy("repo", "value_id").agg(F.min("method_full_name").alias("callee"))
+
+    def values(args: DataFrame) -> DataFrame:
+        """Argument rows (repo, id, file, arg_...) with the slot that the argument stands for and the type that it is written with."""
+        own = args.withColumn("value_id", F.col("arg_id")).join(fields, ["repo", "value_id"], "left").join(methods, ["repo", "value_id"], "left")
+        at = F.when(F.col("arg_label") == "IDENTIFIER", slot("v", "file", "arg_name")).when(F.col("field").isNotNull(), slot("f", "file", "field")).when(F.col("callee").isNotNull(), slot("r", "callee"))
+        written = F.when(~F.coalesce("arg_type_full_name", F.lit("")).isin("", "ANY"), F.col("arg_type_full_name"))
+        return own.select("repo", "id", "arg_argument_index", at.alias("at"), written.alias("type"))
+
+    place = program.nodes.select("repo", "id", "file")
+    given = values(program.arguments(program.operators(graph.ASSIGNMENT)).join(place, ["repo", "id"]))
+    left = given.where("arg_argument_index = 1 and at is not null").select("repo", "id", F.col("at").alias("slot"))
+    right = given.where("arg_argument_index = 2").select("repo", "id", "at", "type")
+    back = program.edges.where("label = 'CONTAINS'").select("repo", F.col("src").alias("m"), F.col("dst").alias("id")).join(program.of("METHOD").select("repo", F.col("id").alias("m"), "method_full_name"), ["repo", "m"])
+    returns = values(program.arguments(program.of("RETURN")).join(place, ["repo", "id"])).join(back, ["repo", "id"]).select("repo", slot("r", "method_full_name").alias("slot"), "at", "type")
+    pairs = left.join(right, ["repo", "id"]).select("repo", "slot", "at", "type").unionByName(returns)
+    return pairs.where("type is not null").select("repo", "slot", "type").distinct(), pairs.where("at is not null and at <> slot").select("repo", "slot", F.col("at").alias("origin")).distinct()
+
+
+def spread(known: DataFrame, copies: DataFrame) -> DataFrame:
+    """(repo, slot, type): all that slots get over any number of copies. Each round joins only what the one before has added, until nothing is."""
+    new = keep(known.select("repo", "slot", "type").distinct(), "types")
+    copies = keep(copies, "copies")
+    every = new
+    while not new.isEmpty():
+        came = copies.join(new.withColumnRenamed("slot", "origin"), ["repo", "origin"]).select("repo", "slot", "type").distinct()
+        new = keep(came.join(every, ["repo", "slot", "type"], "left_anti"), "types")
+        every = every.unionByName(new)
+    return every
+
+
+def recovered_types(program: Program) -> DataFrame:
+    """Nodes with type hints spread over assignments, fields and returns to a fix point; variables and fields have those of their slot."""
+    hints = spread(*type_slots(program)).groupBy("repo", "slot").agg(F.array_sort(F.collect_set("type")).alias("_found"))
+    kind = F.when(F.col("label") == "IDENTIFIER", F.concat_ws("|", F.lit("v"), "file", "name")).when(F.col("label") == "FIELD_IDENTIFIER", F.concat_ws("|", F.lit("f"), "file", "code"))
+    nodes = program.nodes.withColumn("slot", kind).join(hints, ["repo", "slot"], "left")
     own = F.coalesce("type_hints", F.array().cast("array<string>"))
-    return nodes.withColumn("type_hints", F.when((F.col("label") == "IDENTIFIER") & F.col("_found").isNotNull(), F.array_sort(F.array_union(own, "_found"))).otherwise(F.col("type_hints"))).select(*program.nodes.columns)
+    return nodes.withColumn("type_hints", F.when(F.col("_found").isNotNull(), F.array_sort(F.array_union(own, "_found"))).otherwise(F.col("type_hints"))).select(*program.nodes.columns)
 
 
 def file_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")) -> DataFrame:
@@ -268,21 +301,92 @@ def gem_types(calls: DataFrame, packages: DataFrame) -> DataFrame:
     return on.withColumn("type_full_name", F.when(F.col("package").isNotNull() & F.coalesce("type_full_name", F.lit("ANY")).isin("", "ANY"), F.concat_ws("::", "package", "module")).otherwise(F.col("type_full_name"))).select(*calls.columns)
 
 
+def definitions(program: Program) -> DataFrame:
+    """(repo, m, at, name, def): where a method's variables get values: ``def`` is the parameter or the left side, ``at`` the node of the control flow that gives it."""
+    inside = program.edges.where("label = 'CONTAINS'").select("repo", F.col("src").alias("m"), F.col("dst").alias("at"))
+    left = program.arguments(program.operators(graph.ASSIGNMENT)).where("arg_argument_index = 1 and arg_label = 'IDENTIFIER'")
+    given = left.select("repo", F.col("id").alias("at"), F.col("arg_name").alias("name"), F.col("arg_id").alias("def")).join(inside, ["repo", "at"])
+    taken = program.hop(program.of("METHOD").select("repo", F.col("id").alias("m")), "AST", "m", "def").join(program.of("PARAMETER").select("repo", F.col("id").alias("def"), "name"), ["repo", "def"])
+    return given.select("repo", "m", "at", "name", "def").unionByName(taken.select("repo", "m", F.col("m").alias("at"), "name", "def"))
+
+
+def few_definitions(defs: DataFrame, limit: int) -> DataFrame:
+    """Definitions of methods that have ``limit`` at most; the limit is the feature's."""
+    return defs.join(defs.groupBy("repo", "m").count().where(F.col("count") <= limit), ["repo", "m"], "left_semi")
+
+
+def reaching(program: Program, limit: int = 4000) -> DataFrame:
+    """(repo, def, name, at): nodes of the control flow that each definition reaches.
+
+    A definition is generated at its node and goes along the CFG edges; an assignment of the same variable kills it, after it has been reached itself.
+    Facts go on in rounds, each of which joins what the one before has added, until nothing is.
+    """
+    defs = keep(few_definitions(definitions(program), limit), "definitions")
+    follow = keep(program.edges.where("label = 'CFG'").select("repo", F.col("src").alias("at"), F.col("dst").alias("to")).distinct(), "control")
+    kills = defs.select("repo", "at", "name").distinct()
+    front = defs.select("repo", "def", "name", "at").distinct()
+    every = None
+    while True:
+        came = front.join(follow, ["repo", "at"]).select("repo", "def", "name", F.col("to").alias("at")).distinct()
+        new = keep(came if every is None else came.join(every, ["repo", "def", "name", "at"], "left_anti"), "reaching")
+        if new.isEmpty():
+            return new if every is None else every
+        every = new if every is None else every.unionByName(new)
+        front = new.join(kills, ["repo", "at", "name"], "left_anti")
+
+
+def definition_uses(program: Program, limit: int = 4000) -> DataFrame:
+    """FLOWS edges from each definition to the uses of its variable that it reaches; the left side of an assignment is no use."""
+    left = program.arguments(program.operators(graph.ASSIGNMENT)).where("arg_argument_index = 1").select("repo", F.col("arg_id").alias("at"))
+    uses = program.of("IDENTIFIER").select("repo", F.col("id").alias("at"), "name").join(left, ["repo", "at"], "left_anti")
+    return reaching(program, limit).join(uses, ["repo", "at", "name"]).select("repo", F.col("def").alias("src"), F.col("at").alias("dst"), F.lit("FLOWS").alias("label")).distinct()
+
+
 def lambda_captures(program: Program, limit: int = 4000) -> DataFrame:
-    """FLOWS edges from the definitions of a captured variable in the outer method to its uses in the lambda; methods of more than ``limit`` definitions take part in none: the limit is the feature's."""
-    held = program.edges.where("label = 'CAPTURES'").select("repo", F.col("src").alias("outer_id"), F.col("dst").alias("lambda_id"))
-    inside = program.edges.where("label = 'CONTAINS'").select("repo", F.col("src").alias("m"), F.col("dst").alias("node"))
-    uses = inside.join(program.of("IDENTIFIER").select("repo", F.col("id").alias("node"), "name"), ["repo", "node"])
-    small = uses.groupBy("repo", "m").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("repo", "m")
-    own = uses.join(small, ["repo", "m"], "left_semi")
-    a = own.select("repo", F.col("m").alias("outer_id"), "name", F.col("node").alias("src"))
-    b = own.select("repo", F.col("m").alias("lambda_id"), "name", F.col("node").alias("dst"))
-    return held.join(a, ["repo", "outer_id"]).join(b, ["repo", "lambda_id", "name"]).select("repo", "src", "dst", F.lit("FLOWS").alias("label")).distinct()
+    """FLOWS edges between a method's variables and a lambda that captures them (CAPTURES edges).
+
+    A variable of the method goes to its first use in the lambda where it stands on that line or before; the last use there goes to it where it stands on that
+    line or after; a parameter of the method goes to every use in the lambda. Where the method has control flow, only values that reach the
+    lambda's METHOD_REF go in: one that is assigned anew before is killed. Methods of more than ``limit`` variables, each of which
+    counts as a definition, take no part.
+    """
+    held = program.edges.where("label = 'CAPTURES'").select("repo", F.col("src").alias("m"), F.col("dst").alias("inner"))
+    inside = program.edges.where("label = 'CONTAINS'").select("repo", F.col("src").alias("m"), F.col("dst").alias("id"))
+    uses = keep(inside.join(program.of("IDENTIFIER").select("repo", "id", "name", "line"), ["repo", "id"]), "uses")
+    defs = definitions(program)
+    large = uses.groupBy("repo", "m").count().where(F.col("count") > limit).select("repo", "m")
+    held = keep(held.join(large, ["repo", "m"], "left_anti"), "captures")
+    place = F.struct("line", "id")
+    ends = uses.groupBy("repo", F.col("m").alias("inner"), "name").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    pairs = held.join(uses, ["repo", "m"]).join(ends, ["repo", "inner", "name"])
+    forth = pairs.where(F.col("line") <= F.col("first.line")).select("repo", "m", "inner", "name", F.col("id").alias("src"), F.col("first.id").alias("dst"))
+    back = pairs.where((F.col("line") >= F.col("last.line")) & (F.col("line") > F.col("first.line"))).select("repo", F.col("last.id").alias("src"), F.col("id").alias("dst"))
+    refs = program.edges.where("label = 'REF'").select("repo", F.col("src").alias("at"), F.col("dst").alias("inner")).join(program.of("METHOD_REF").select("repo", F.col("id").alias("at")), ["repo", "at"])
+    flows_in = program.edges.where("label = 'CFG'").select("repo", F.col("dst").alias("at")).distinct()
+    seen = keep(refs.join(flows_in, ["repo", "at"], "left_semi"), "refs")
+    live = reaching(program, limit).join(seen, ["repo", "at"]).select("repo", "inner", "name", F.col("def").alias("src")).distinct()
+    known = seen.select("repo", "inner").distinct()
+    given = defs.select("repo", F.col("def").alias("src")).distinct()
+    killed = forth.join(known, ["repo", "inner"], "left_semi").join(given, ["repo", "src"], "left_semi").join(live, ["repo", "inner", "name", "src"], "left_anti")
+    forth = forth.join(killed.select("repo", "inner", "src"), ["repo", "inner", "src"], "left_anti")
+    params = held.join(program.hop(held.select("repo", "m").distinct(), "AST", "m", "src"), ["repo", "m"]).join(program.of("PARAMETER").select("repo", F.col("id").alias("src")), ["repo", "src"])
+    into = params.join(uses.select("repo", F.col("m").alias("inner"), F.col("id").alias("dst")), ["repo", "inner"])
+    every = forth.select("repo", "src", "dst").unionByName(back).unionByName(into.select("repo", "src", "dst"))
+    return every.select("repo", "src", "dst", F.lit("FLOWS").alias("label")).distinct()
+
+
+GRAM = 6
 
 
 def synced_flows(columns: DataFrame, sinks: DataFrame) -> DataFrame:
-    """Two-node flows from tagged columns (repo, id, rule_id, file) to data syncs (repo, id, rule_id, model): the column's file is named for the sync's model."""
-    names = columns.withColumn("model", F.explode(F.array_distinct(F.filter(F.split("file", r"[/.]"), lambda x: x != ""))))
-    exact = names.select("repo", "model", F.col("id").alias("column_id"), F.col("rule_id").alias("source_id")).join(sinks.select("repo", "model", F.col("id").alias("sync_id"), F.col("rule_id").alias("sink_id")), ["repo", "model"])
+    """Two-node flows from tagged columns (repo, id, rule_id, file) to data syncs (repo, id, rule_id, model): the column's file has the sync's model anywhere in its name.
+
+    Files are met by their pieces of up to ``GRAM`` characters, of which the model's first ones are one: an equi-join, then the test. A sync without a model has no flow.
+    """
+    files = columns.select("repo", "file").distinct()
+    pieces = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda k: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(c, k, n)))))
+    wanted = sinks.where("model <> ''").select("repo", "model", F.left("model", F.lit(GRAM)).alias("_piece"), F.col("id").alias("sync_id"), F.col("rule_id").alias("sink_id"))
+    met = files.select("repo", "file", F.explode(pieces(F.col("file"))).alias("_piece")).join(wanted, ["repo", "_piece"]).where(F.contains("file", F.col("model"))).drop("_piece")
+    exact = columns.select("repo", "file", F.col("id").alias("column_id"), F.col("rule_id").alias("source_id")).join(met, ["repo", "file"])
     path = F.array("column_id", "sync_id")
     return exact.select("repo", "source_id", "sink_id", F.lit("third_parties").alias("sink_sub_category"), F.lit("REGULAR").alias("sink_node_type"), F.concat_ws("-", "column_id", "sync_id").alias("path_id"), path.alias("path"), F.lit(False).alias("apply_dedup")).distinct()

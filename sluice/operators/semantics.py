@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scalars import unquoted
 from sluice.operators import tagging
+from sluice.operators.calls import reach_by_calls
 from sluice.operators.graph import Program
 from sluice.operators.predicates import full_match
 from sluice.sources import sql_text
@@ -82,14 +83,15 @@ def of_catalogue(spark, semantics: Sequence) -> DataFrame:
 
 
 def of_language(spark, program: Program, semantics: Sequence, language: str) -> DataFrame:
-    """All semantics of a language, a row a signature."""
+    """All semantics of a language, a row a signature. Java, Python and JavaScript have them; elsewhere calls do what the front end's flows say."""
     own = of_catalogue(spark, semantics)
     if language == "python":
         return of_named_arguments(program).unionByName(own).distinct()
-    rows = own.unionByName(of_sinks(program))
-    if language in ("java", "kotlin"):
-        rows = rows.unionByName(of_external(program)).unionByName(of_members(program))
-    return merged(rows)
+    if language == "javascript":
+        return merged(own.unionByName(of_sinks(program, 1)))
+    if language == "java":
+        return merged(own.unionByName(of_sinks(program)).unionByName(of_external(program)).unionByName(of_members(program)))
+    return own.where(F.lit(False))
 
 
 def text_lines(rows: DataFrame) -> DataFrame:
@@ -97,13 +99,6 @@ def text_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.trim(F.concat(F.lit('"'), "signature", F.lit('" '), "flow")).alias("line")).orderBy("line")
 
 
-def without_killed(edges: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Flow edges out of calls whose semantics let nothing reach the result; a call without semantics lets all."""
-    silent = rows.where(~F.col("flow").contains("->-1")).select(F.col("signature").alias("method_full_name")).distinct()
-    own = nodes.where("label = 'CALL'").join(silent, "method_full_name", "left_semi").select("repo", F.col("id").alias("src"))
-    return edges.where("label = 'FLOWS'").join(own, ["repo", "src"], "left_anti")
-
-
 # Reads of databases: a query's text tags the node with what its columns are
 
 SELECT = r"(?i)SELECT\s+(.*)\sFROM.+"
@@ -159,10 +154,8 @@ def read_tags(nodes: DataFrame, rules: Sequence, sensitive: DataFrame, tables: D
     return of_class.unionByName(plain.select("repo", "id", "rule_id")).distinct()
 
 
-def star_reads(program: Program, nodes: DataFrame, sources: DataFrame, depth: int = 4) -> DataFrame:
+def star_reads(program: Program, nodes: DataFrame, sources: DataFrame, semantics: DataFrame | None = None) -> DataFrame:
     """(repo, id, rule_id): queries of all columns of an unknown class, by the data elements that their result flows to."""
-    from sluice.operators import flows
-
-    found = flows.reach(program.edges.where("label = 'FLOWS'").select("src", "dst"), nodes.select("id"), sources.select("id"), depth)
+    found = reach_by_calls(program, nodes.select("repo", "id"), sources.select("repo", "id"), semantics)
     ids = program.tags.where(F.col("value").startswith("Data.Sensitive.")).select("repo", F.col("node_id").alias("sink"), F.col("value").alias("rule_id"))
-    return found.select(F.col("source").alias("id"), "sink").distinct().join(ids, "sink").select("repo", "id", "rule_id").distinct()
+    return found.select("repo", F.col("source").alias("id"), "sink").distinct().join(ids, ["repo", "sink"]).select("repo", "id", "rule_id").distinct()

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import scalars as fn
 from sluice.operators import flows, graph, tagging
+from sluice.operators.calls import EngineContext, reach_by_calls
 from sluice.operators.graph import Program
 from sluice.operators.predicates import by_name_or_hint, full_match, partial_match
 from sluice.operators.sources import mark
@@ -164,11 +165,19 @@ def api_version(program: Program, setting, imports: DataFrame) -> str:
     return "V1" if imports.where(partial_match(F.col("name"), libraries)).limit(1).count() else "skip"
 
 
+def calls_in_importing_files(program: Program, setting, imports: DataFrame) -> DataFrame:
+    """Calls named like a request in files that import an HTTP library, for programs whose full names are not resolved."""
+    files = imports.where(partial_match(F.col("name"), setting("apiHttpLibraries"))).select("repo", "file").distinct()
+    return program.calls().where(full_match(F.col("name"), setting("apiSinks"))).join(files, ["repo", "file"], "left_semi")
+
+
 def own_prefixes(program: Program, n: int = 30) -> DataFrame:
-    """(repo, prefix, n): first two segments of the first ``n`` methods (by id) of each repository's own."""
-    own = program.of("METHOD").where("not coalesce(is_external, false)").groupBy("repo").agg(F.slice(F.array_sort(F.collect_list(F.struct("id", "method_full_name"))), 1, n).alias("first"))
-    prefix = F.array_join(F.slice(F.split("f.method_full_name", "[.:]"), 1, 2), ".")
-    return own.select("repo", F.explode("first").alias("f")).groupBy("repo", prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    """(repo, prefix, n): first two segments of the first ``n`` methods (by id) of each repository's own; the rank keeps ``n`` rows a repository before its exchange."""
+    own = program.of("METHOD").where("not coalesce(is_external, false)")
+    rank = F.row_number().over(Window.partitionBy("repo").orderBy("id"))
+    first = own.select("repo", "id", "method_full_name").withColumn("_rank", rank).where(F.col("_rank") <= n)  # Spark cuts groups to n rows on both sides of the exchange
+    prefix = F.array_join(F.slice(F.split("method_full_name", "[.:]"), 1, 2), ".")
+    return first.groupBy("repo", prefix.alias("prefix")).agg(F.count("*").alias("n"))
 
 
 def addresses(program: Program, properties: DataFrame, rule: Rule, setting, language: str = "generic") -> DataFrame:
@@ -188,16 +197,14 @@ def addresses(program: Program, properties: DataFrame, rule: Rule, setting, lang
     return literal.unionByName(used).distinct()
 
 
-def api_sinks(program: Program, calls: DataFrame, seeds: DataFrame, rule: Rule, inferences: Sequence[Rule] = (), properties: DataFrame | None = None, excluded: list[str] | None = None, depth: int = 4, show: bool = True) -> DataFrame:
+def api_sinks(program: Program, calls: DataFrame, seeds: DataFrame, rule: Rule, inferences: Sequence[Rule] = (), properties: DataFrame | None = None, excluded: list[str] | None = None, context: EngineContext = EngineContext(), show: bool = True) -> DataFrame:
     """(repo, id, file, rule_id, api_url) of API calls: those that an address flows to get its domain's rule, the others ``API``.
 
     Calls that are tagged already are left out. An internal rule tags only what an address reaches.
     """
     open_calls = program.untagged(program.untagged(calls, "API_URL_MARKED"), "nodeType", "api")
-    edges = program.edges.where("label = 'FLOWS'").select("src", "dst")
-    found = flows.reach(edges, seeds.select("id").distinct(), open_calls.select("id"), depth)
-    kept = flows.unique_paths(found)
-    hit = kept.select(F.col("source").alias("seed"), F.col("sink").alias("id")).distinct().join(seeds.withColumnRenamed("id", "seed"), "seed").select("repo", "id", "address").distinct()
+    kept = flows.unique_paths(reach_by_calls(program, seeds.select("repo", "id").distinct(), open_calls.select("repo", "id"), context=context))
+    hit = kept.select("repo", F.col("source").alias("seed"), F.col("sink").alias("id")).distinct().join(seeds.withColumnRenamed("id", "seed"), ["repo", "seed"]).select("repo", "id", "address").distinct()
     own = open_calls.select("repo", "id", "file")
     if rule.id == INTERNAL:
         return own.join(hit, ["repo", "id"]).select("repo", "id", "file", F.lit(rule.id).alias("rule_id"), F.col("address").alias("api_url"))
@@ -774,10 +781,9 @@ def flink_default(program: Program, rule_ids: str = "") -> DataFrame:
     return copy_tags(program, own.join(_flink_sinks(program), ["repo", "method_id"]))
 
 
-def _flows_between(program: Program, sources: DataFrame, sinks: DataFrame, depth: int = 4) -> DataFrame:
-    edges = program.edges.where("label = 'FLOWS'").select("src", "dst")
-    found = flows.unique_paths(flows.reach(edges, sources.select("id"), sinks.select("id"), depth))
-    return found.select(F.col("source").alias("from_id"), F.col("sink").alias("to_id")).distinct().join(sources.select("repo", F.col("id").alias("from_id")), "from_id")
+def _flows_between(program: Program, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    found = reach_by_calls(program, sources.select("repo", "id"), sinks.select("repo", "id"))
+    return found.select("repo", F.col("source").alias("from_id"), F.col("sink").alias("to_id")).distinct()
 
 
 def flink_default_by_flow(program: Program, rule_ids: str = "") -> DataFrame:

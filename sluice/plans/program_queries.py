@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.exporters import audit, document
 from sluice.functions import scalars as fn
-from sluice.operators import collections, flows, graph, linkers, policy, predicates, semantics, sinks, sources, tagging, threats
+from sluice.operators import calls, collections, flows, graph, linkers, policy, predicates, semantics, sinks, sources, tagging, threats
 from sluice.operators._stage import keep
 from sluice.operators.graph import Program
 from sluice.operators.tagging import Rule
@@ -256,8 +256,8 @@ def _tagged_program(spark, sf_dir) -> Program:
 
 def _program_flows(spark, sf_dir) -> tuple[Program, DataFrame]:
     p = _tagged_program(spark, sf_dir)
-    found = flows.reach(p.edges.where("label = 'FLOWS'").select("src", "dst"), flows.source_nodes(p).select("id"), flows.sink_nodes(p).select("id"), 2)
-    raw = found.select(F.lit("shop").alias("repo"), "path", flows.path_id(F.col("path")).alias("path_id"))
+    found = calls.reach_by_calls(p, flows.source_nodes(p, all_derived=False).select("repo", "id"), flows.sink_nodes(p).select("repo", "id"))
+    raw = keep(found.select("repo", "path", flows.path_id(F.col("path")).alias("path_id")), "paths")
     kinds = spark.createDataFrame(sorted({(r.cat_two, r.node_type) for r in SINKS}), "cat_two string, node_type string")
     return p, flows.expand(raw, p.tags, kinds)
 
@@ -596,12 +596,19 @@ def semi_filter_groups(spark, sf_dir):
     return predicates.semi(rows, returned, ["id", "grp"]).groupBy("id", "grp").agg(F.count("*").alias("n"))
 
 
-@query(f"{_WITH}, seeds AS (SELECT id FROM nodes WHERE label = 'LITERAL' AND regexp_full_match(code, '[\"]/(view)/.*[\"]')) SELECT n.id, 'Sinks.API.InternalAPI' AS rule_id, l.code AS api_url FROM seeds s JOIN nodes l ON l.id = s.id JOIN nodes n ON n.id = s.id - 20000000 AND n.label = 'CALL'")
+@query(
+    _WITH.replace("nodes AS (", "nodes AS MATERIALIZED (", 1)
+    + f", props AS ({_sql_name(_PROPERTIES)}), seeds AS MATERIALIZED (SELECT id, id - 20000000 AS to_id, code AS api_url FROM nodes WHERE label = 'LITERAL' AND regexp_full_match(code, '[\"]/view/.*[\"]') "
+    "UNION ALL SELECT 10000000 + p.id, e.dst, p.value FROM props p JOIN edges e ON e.src = 10000000 + p.id AND e.label = 'FLOWS' WHERE regexp_full_match(p.value, '/path/.*')) "
+    "SELECT DISTINCT n.id, 'Sinks.API.InternalAPI' AS rule_id, s.api_url FROM seeds s JOIN nodes n ON n.id = s.to_id AND n.label = 'CALL' AND NOT starts_with(n.name, '<operator')"
+)
 def api_sinks_by_address(spark, sf_dir):
-    """Internal APIs: calls that a literal with an address of the rule flows to."""
+    """Internal APIs: calls that an address of the rule flows to, from a literal or from where a property is used."""
     p = program(spark, sf_dir)
+    properties = _properties(spark, sf_dir)
     links = p.of("LITERAL").select("repo", F.col("id").alias("src"), (F.col("id") - 20000000).alias("dst"), F.lit("FLOWS").alias("label"))
-    own = Program(p.nodes, links, p.tags)
-    rule = Rule(sinks.INTERNAL, ("/view/.*",), cat_one="sinks", node_type="api")
-    seeds = sinks.addresses(own, _properties(spark, sf_dir).limit(0), rule, lambda key: "")
-    return sinks.api_sinks(own, own.calls(), seeds, rule, depth=1).select("id", "rule_id", "api_url")
+    used = properties.select("repo", F.col("id").alias("src"), (F.col("id") + 10000000).alias("dst"), F.lit("IS_USED_AT").alias("label"))
+    own = Program(p.nodes, p.edges.unionByName(links).unionByName(used), p.tags)
+    rule = Rule(sinks.INTERNAL, ("/view/.*", "/path/.*"), cat_one="sinks", node_type="api")
+    seeds = sinks.addresses(own, properties, rule, lambda key: "")
+    return sinks.api_sinks(own, own.calls(), seeds, rule).select("id", "rule_id", "api_url")

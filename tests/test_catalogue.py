@@ -297,7 +297,9 @@ def test_scan_by_profile(spark):
     out = profiles.scan(profiles.Context(spark, p, c, "go"), each=lambda name, _: seen.append(name))
     assert seen == [f.__name__ for f in profiles.PROFILES["go"]] and len(out.metrics) == len(seen)
     assert got(out.flow_stages["final"], "source_id", "sink_id", "path_id") == [("Data.Sensitive.Mail", "Storages.Db", "3-4")]
-    assert got(out.violations, "policy_id", "paths") == [("P", ["3-4"])]
+    assert got(out.violations, "policy_id", "kind", "sink_id", "detail") == [("P", "dataflow", "Storages.Db", "3-4")]
+    found = profiles.sections(out)
+    assert {"sources", "sinks", "dataFlow", "violations", "metrics", "fileLinks"} <= set(found) and found["violations"].count() == 1
     assert profiles.profile("cobol") == profiles.PROFILES["default"] and len(profiles.profile("php", metadata=True)) == 1
     times = profiles.pass_times(spark.createDataFrame(list(out.metrics), "name string, seconds double"))
     assert times.count() == len(set(seen))

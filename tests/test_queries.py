@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from sluice.plans import catalogue, program_queries  # noqa: F401
+from sluice.plans import catalogue, flow_queries, language_queries, program_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
