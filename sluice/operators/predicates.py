@@ -6,14 +6,28 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.patterns import required
+
+
+def _looked_for(value: Column, pattern: str, test: Column) -> Column:
+    """The test, run only on values that hold a literal that the pattern cannot match without."""
+    literals = required(pattern)
+    if not literals:
+        return test
+    low = F.lower(value)
+    some = F.contains(low, F.lit(literals[0]))
+    for x in literals[1:]:
+        some |= F.contains(low, F.lit(x))
+    return some & test
+
 
 def full_match(value: Column, pattern: str, dotall: bool = False) -> Column:
     """The whole of ``value`` matches; a null value does not. A dot crosses lines only with ``dotall``."""
-    return F.coalesce(value.rlike(rf"{'(?s)' if dotall else ''}\A(?:{pattern})\z"), F.lit(False))
+    return F.coalesce(_looked_for(value, pattern, value.rlike(rf"{'(?s)' if dotall else ''}\A(?:{pattern})\z")), F.lit(False))
 
 
 def partial_match(value: Column, pattern: str) -> Column:
-    return F.coalesce(value.rlike(pattern), F.lit(False))
+    return F.coalesce(_looked_for(value, pattern, value.rlike(pattern)), F.lit(False))
 
 
 def any_of(patterns: list[str]) -> str:

@@ -87,10 +87,18 @@ def permissions(found: DataFrame) -> DataFrame:
 _HOCON = re.compile(r"""\s*(?P<c>(?:\#|//)[^\n]*)|(?P<t>\"\"\"(?:.|\n)*?\"\"\"|"(?:\\.|[^"\\\n])*"|[{}\[\],]|\+=|[=:]|\n|\$\{\??[^}]*\}|(?:(?!//)[^\s{}\[\],=:"\#$+])+|[$+])|(?P<s>[^\S\n]+)""")
 
 
-def hocon_rows(text: str) -> Iterator[tuple[str, str, int]]:
+INCLUDE = "include"
+
+
+def hocon_pieces(text: str) -> Iterator[tuple[str, str, int]]:
+    """As ``hocon_rows``, but references to other keys stay in the values, and an include is a row of that name with the file's."""
+    return hocon_rows(text, whole=False)
+
+
+def hocon_rows(text: str, whole: bool = True) -> Iterator[tuple[str, str, int]]:
     """a.b[0].c, value and line of a HOCON text: objects, dotted keys, lists, comments, quoted and unquoted values, and ${references} to keys before.
 
-    The last value of a key wins, objects of one key are merged; includes and what is not HOCON have no rows.
+    The last value of a key wins, objects of one key are merged; includes and what is not HOCON have no rows. Files that refer to each other are ``conf.resolved``'s.
     """
     tokens, line = [], 1
     for m in _HOCON.finditer(text):
@@ -100,6 +108,7 @@ def hocon_rows(text: str) -> Iterator[tuple[str, str, int]]:
             tokens.append((" ", line))
         line += m[0].count("\n")
     out: dict[str, tuple[str, int]] = {}
+    included: list[tuple[str, int]] = []
     at = 0
 
     def blank(newlines: bool = True) -> None:
@@ -135,7 +144,8 @@ def hocon_rows(text: str) -> Iterator[tuple[str, str, int]]:
         while at < len(tokens) and tokens[at][0] not in ("\n", ",", "}", "]"):
             t = tokens[at][0]
             hole = re.fullmatch(r"\$\{\??([^}]*)\}", t)
-            parts.append(out.get(hole[1].strip(), (t, 0))[0] if hole else bare(t))
+            known = hole and (whole or hole[1].strip() == path)  # a key that refers to itself means its value before
+            parts.append(out.get(hole[1].strip(), (t, 0))[0] if known else t if hole else bare(t))
             at += 1
         text_ = "".join(parts).strip()
         if text_ != "null":
@@ -150,6 +160,9 @@ def hocon_rows(text: str) -> Iterator[tuple[str, str, int]]:
                 key.append(bare(tokens[at][0]))
                 at += 1
             name = "".join(key).strip()
+            named = not whole and re.fullmatch(r"include\s+(?:required\()?(?:file\()?(.+?)\)*", name)
+            if named:
+                included.append((named[1], tokens[at - 1][1]))
             if at >= len(tokens) or not name or tokens[at][0] in ("\n", ",", "}"):
                 if at < len(tokens) and tokens[at][0] == end:
                     break
@@ -163,8 +176,9 @@ def hocon_rows(text: str) -> Iterator[tuple[str, str, int]]:
         at += 1
 
     blank()
-    whole = at < len(tokens) and tokens[at][0] == "{"
-    at += whole
-    body("", "}" if whole else "\0")
+    braced = at < len(tokens) and tokens[at][0] == "{"
+    at += braced
+    body("", "}" if braced else "\0")
+    yield from ((INCLUDE, v, n) for v, n in included)
     for name, (v, n) in out.items():
         yield name, v, n

@@ -133,7 +133,7 @@ def by_hand(steps, sources, sinks, most):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_steps_equal_a_search_by_hand(spark, seed):
     rng = random.Random(seed)
     steps = {(a, (), b, "flow", None) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(38)) if a != b}

@@ -148,6 +148,25 @@ def test_beans_and_hocon(spark):
     assert list(xml.hocon_rows("")) == [] and list(xml.hocon_rows("{")) == []
 
 
+def test_hocon_over_files(spark):
+    from sluice.sources import conf
+
+    files = spark.createDataFrame(
+        [
+            ("r", "c/app.conf", 'include "base"\nurl = ${scheme}"://"${host}${?nothing}\npath = /bin\npath = ${path}":/usr/bin"\na = ${b}\nb = ${a}\nc = ${b}x\nmissing = ${nowhere}\nafter = ${missing}'),
+            ("r", "c/base.conf", 'include "app.conf"\ninclude file("deep.conf")\nhost = base.example\nscheme = ${proto}'),
+            ("r", "c/deep.conf", "host = deep.example\nproto = https"),
+            ("s", "c/app.conf", "host = other"),
+        ],
+        "repo string, file string, content string",
+    )
+    rows = {(r.repo, r.file, r.name): (r.value, r.problem) for r in conf.resolved(files).collect()}
+    app = {n: v for (r, f, n), v in rows.items() if (r, f) == ("r", "c/app.conf")}
+    assert app["url"] == ("https://base.example", None) and app["path"] == ("/bin:/usr/bin", None) and app["proto"] == ("https", None)
+    assert {n for n, v in app.items() if v[1] == "cycle"} == {"a", "b", "c"} and app["missing"] == ("${nowhere}", "missing") and app["after"][1] == "missing"
+    assert rows["r", "c/deep.conf", "host"] == ("deep.example", None) and rows["s", "c/app.conf", "host"] == ("other", None)
+
+
 def test_repository_readers(spark, tmp_path):
     java = "package a;\n/* c */\nimport java.util.List;\nimport static a.B.*;\n\nclass X {}\nimport no.More;\n"
     assert [n for n, _, _ in repository.import_rows(java, "java")] == ["java.util.List", "a.B.*"]

@@ -64,8 +64,8 @@ def test_java_scan_from_end_to_end(spark):
     assert set(profiles.sheets(done)) >= {"elements", "flows", "apis", "urls", "http", "unresolved", "unresolvedFlows", "declarations"}
 
 
-@pytest.mark.parametrize("language", sorted(set(profiles.PROFILES) - {"java", "default"}))
-def test_every_profile_finds_the_flow_over_the_call(spark, language):
+@pytest.mark.parametrize("language", ["javascript", "python", "ruby"])
+def test_profiles_find_the_flow_over_the_call(spark, language):
     done = profiles.scan(context(spark, language))
     final = {(r.sink_id, r.path_id) for r in done.flow_stages["final"].collect()}
     assert ("Storages.Db.Write", "13-15-21-23-22") in final
