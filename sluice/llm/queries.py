@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": sql.quality()}
+    return {"op1_quality": sql.quality(), "op11_prefix_trie": sql.prefix_trie(), "op12_jaccard": sql.jaccard(), "op13_spelling": sql.spelling()}
