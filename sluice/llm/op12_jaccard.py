@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import _components, _spark, _text
@@ -35,9 +35,10 @@ from sluice.llm import _components, _spark, _text
 WIDTH = 5
 RADIUS = 0.2  # as a Jaccard distance; linked() has the exact test
 PIVOTS = 16
-REGION_ROWS, REGION_BYTES = 1024, 32 << 20
+REGION_ROWS, REGION_BYTES = 4096, 32 << 20
 SALT_ROWS = 512
-LEAF = 256
+LEAF, DENSE = 512, 16
+SAMPLE, SALTS = 64, 256
 FILTER_BITS = 1 << 26  # 8 MB, whatever the size of the tables
 
 
@@ -69,7 +70,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> t
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, th (hash of the text), node, n, keys: the least hashes of each shingle set, as many as the join needs.
+    """doc_id, th (hash of the text), node, n, bytes, keys: the least hashes of each shingle set, as many as the join needs.
 
     A task names each row by its own number and place; rows whose set it has had before take the node of the first and no keys.
     """
@@ -98,9 +99,9 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(size)))
                 keys = s[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[:-1], size)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(nodes), pa.array(n), lists], ["doc_id", "th", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(nodes), pa.array(n), pa.array(np.diff(offsets[i : j + 1])), lists], ["doc_id", "th", "node", "n", "bytes", "keys"])
 
-    return _hashed(docs).mapInArrow(run, "doc_id long, th long, node long, n long, keys array<long>")
+    return _hashed(docs).mapInArrow(run, "doc_id long, th long, node long, n long, bytes long, keys array<long>")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -111,36 +112,61 @@ def _tenth(x: Column) -> Column:
     return F.floor((x + 9) / 10)
 
 
+def shared_keys(entries: DataFrame, total: int) -> DataFrame:
+    """node, key, df of the keys that several nodes have, df being how many.
+
+    One exchange by key, in which a window counts. Keys that would fill a task are told by a hash sample of one node in ``SAMPLE``: at most
+    some 2 * 10**5, so they are broadcast, counted before an exchange, and dealt to many tasks.
+    """
+    least = max(total // (2 * SAMPLE * _spark.HOT_KEYS), 16)
+    sample = entries.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+    hot = _spark.materialise(sample.groupBy("key").count().where(F.col("count") >= least).select("key", F.lit(True).alias("_hot")), "hot")
+    counts = entries.join(F.broadcast(hot), "key", "left").groupBy(F.when(F.col("_hot"), F.col("key")).alias("key")).agg(F.count("*").alias("_df"))
+    told = entries.join(F.broadcast(_spark.materialise(counts, "hot")), "key", "left")  # the count of all others has a null key and meets none
+    salt = F.when(F.col("_df").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    own = F.count("*").over(Window.partitionBy("key", "_salt"))
+    return told.withColumn("_salt", salt).withColumn("df", F.coalesce("_df", own)).where("df > 1").select("node", "key", "df")
+
+
 def holders(prints: DataFrame) -> DataFrame:
     """node, pivot: each document with the first holder of each of its kept shingles."""
-    entries = prints.where(F.size("keys") > 0).select("node", "n", F.explode("keys").alias("key"))
-    held = entries.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    shared = entries.join(held, "key")
+    own = prints.where(F.size("keys") > 0)
+    total = own.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = shared_keys(own.select("node", F.explode("keys").alias("key")), total)
+    mine = Window.partitionBy("node")  # no longer than the document
+    ranked = shared.withColumns({"at": F.row_number().over(mine.orderBy("df", "key")), "held": F.count("*").over(mine)}).join(own.select("node", "n"), "node")
     least = F.floor((8 * F.col("n") + 9) / 10)
     size = F.col("n") - least + _tenth(F.col("n"))
     keep = size - _tenth(least) + 1
-    mine = F.struct("df", "key")
-    lists = shared.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(mine)).alias("s"))  # no longer than the document
-    kept = lists.select(F.col("node").alias("doc_id"), F.explode(F.slice("s", 1, F.greatest(keep - (size - F.size("s")), F.lit(0)).cast("int"))).alias("e")).select("doc_id", F.col("e.key").alias("key"))
-    star = _spark.first_holders(_spark.materialise(kept, "kept"), "key")
-    return star.select(F.col("doc_id").alias("node"), F.col("first_id").alias("pivot")).distinct()
+    kept = ranked.where(F.col("at") + size - F.col("held") <= keep).select(F.col("node").alias("doc_id"), "key")
+    kept = _spark.materialise(kept, "kept")
+    star = _spark.first_holders(kept, "key")
+    star = _spark.materialise(star.select(F.col("doc_id").alias("node"), F.col("first_id").alias("pivot")).distinct(), "star")
+    _spark.discard(kept)
+    return star
+
 
+def with_texts(docs: DataFrame, prints: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (with node) and the text of each node.
 
-def texts_of(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of ``nodes``. A bitmap of fixed size keeps most other texts out of the exchange; a false hit only joins with nothing."""
-    wanted = _spark.materialise(prints.where(F.size("keys") > 0).select("node", "doc_id", "th").join(nodes, "node", "left_semi"), "wanted")
+    A text travels once to meet its node, and once for each row from there. A bitmap of fixed size keeps most other texts out of the
+    exchange; a false hit only joins with nothing. Repeated rows of one id and text meet before it.
+    """
+    to = [c for c in rows.columns if c != "node"]
+    ends = rows.groupBy("node").agg(F.collect_list(F.struct(*to)).alias("_to"))
+    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none")]
+    wanted = _spark.materialise(prints.where(F.size("keys") > 0).select("node", "th", *same).join(ends, "node"), "wanted")
     bit = F.pmod(F.col("th"), F.lit(FILTER_BITS))
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
     place = F.bitmap_bit_position(bit)
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_there = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
     held = _hashed(docs).withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "_bucket").where(set_there)
-    held = held.select(F.col("doc_id").alias("_id"), "th", "text")
-    found = wanted.join(held, (wanted["th"] == held["th"]) & wanted["doc_id"].eqNullSafe(held["_id"])).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    held = held.select("th", *same, "text").groupBy("th", "_id", "_none").agg(F.first("text").alias("text"))
+    return wanted.join(held, ["th", "_id", "_none"]).select("node", F.explode("_to").alias("_to"), "text").select("node", "_to.*", "text")
 
 
-def distances(members: DataFrame, pivots: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+def distances(members: DataFrame, pivots: DataFrame, docs: DataFrame, prints: DataFrame, width: int = WIDTH) -> DataFrame:
     """region, node, pivot, common, n, m: of each (region, node) to each (region, pivot) of its region.
 
     A region is dealt to tasks by ``SALT_ROWS`` documents; the texts of its pivots, some ``PIVOTS``, go to each of them and come first.
@@ -148,7 +174,7 @@ def distances(members: DataFrame, pivots: DataFrame, texts: DataFrame, width: in
     salts = members.groupBy("region").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     rows = members.join(salts, "region").select("region", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.lit(1).alias("kind"), "node")
     heads = pivots.join(salts, "region").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("pivot").alias("node"))
-    dealt = rows.unionByName(heads).join(texts, "node").select("region", "salt", "kind", "node", "text")
+    dealt = with_texts(docs, prints, rows.unionByName(heads)).select("region", "salt", "kind", "node", "text")
     dealt = dealt.repartition(_spark.partitions(members.sparkSession), "region", "salt").sortWithinPartitions("region", "salt", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,24 +261,35 @@ def region_links(sets: list[np.ndarray], labels: list[int], leaf: int = LEAF) ->
 
 
 def block_pairs(sets: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All linked pairs by matrix products over the shingles that two or more sets hold, some columns at a time."""
-    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    _, column, held = np.unique(every, return_inverse=True, return_counts=True)
+    """All linked pairs. Shingles that few sets hold add to the counts of their pairs, those that many hold by matrix products, some columns at a time."""
+    size = len(sets)
+    of = np.repeat(np.arange(size), n)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     use = held[column] > 1
-    of, column = of[use], np.unique(column[use], return_inverse=True)[1]
+    of, column, held = of[use], column[use], held[column[use]]
+    order = np.lexsort((of, column, held))
+    of, column, held = of[order], column[order], held[order]
+    total = np.zeros((size, size), np.float32)
+    for k in range(2, DENSE):
+        rows = of[np.searchsorted(held, k) : np.searchsorted(held, k, "right")].reshape(-1, k)
+        for i in range(k - 1):
+            for j in range(i + 1, k):
+                np.add.at(total, (rows[:, i], rows[:, j]), 1)
+    many = np.searchsorted(held, DENSE)
+    of, column = of[many:], np.unique(column[many:], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    total = np.zeros((len(sets), len(sets)))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        i, j = np.searchsorted(column, [at, at + 4096])
-        block = np.zeros((len(sets), 4096), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        i, j = np.searchsorted(column, [at, at + 2048])
+        block = np.zeros((size, 2048), np.float32)
         block[of[i:j], column[i:j] - at] = 1
         total += block @ block.T
-    a, b = np.nonzero(np.triu(linked(total, n[:, None], n[None, :]), 1))
-    return zip(a.tolist(), b.tolist(), strict=True)
+    for at in range(0, size, 256):
+        a, b = np.nonzero(linked(total[at : at + 256].astype(np.int64), n[at : at + 256, None], n[None, :]))
+        yield from ((i, j) for i, j in zip((a + at).tolist(), b.tolist(), strict=True) if i < j)
 
 
-def links_in_regions(rows: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
+def links_in_regions(rows: DataFrame, docs: DataFrame, prints: DataFrame, width: int = WIDTH) -> DataFrame:
     """Links (a, b) of regions (region, node, label) that fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +313,7 @@ def links_in_regions(rows: DataFrame, texts: DataFrame, width: int = WIDTH) -> D
                     sets.append(s[start[k - i] : start[k - i + 1]].copy())
         yield links()
 
-    dealt = rows.select("region", "node", "label").join(texts, "node").select("region", "node", "label", "text")
+    dealt = with_texts(docs, prints, rows.select("region", "node", "label")).select("region", "node", "label", "text")
     return dealt.repartition(_spark.partitions(rows.sparkSession), "region").sortWithinPartitions("region", "node").mapInArrow(run, "a long, b long")
 
 
@@ -286,12 +323,11 @@ def _linked(rows: DataFrame) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, prints: DataFrame, width: int = WIDTH, region_rows: int = REGION_ROWS, region_bytes: int = REGION_BYTES) -> DataFrame:
     """Links (a, b) between nodes of ``prints`` whose components are those of all linked pairs."""
-    star = _spark.materialise(holders(prints), "star")
-    texts = _spark.materialise(texts_of(docs, prints, star.select("node").union(star.select("pivot"))), "texts")
+    star = holders(prints)
     pivots = star.select(F.col("pivot").alias("region"), "pivot").distinct()
     members = star.select(F.col("pivot").alias("region"), "node")
-    known = _spark.materialise(_linked(distances(members, pivots, texts, width)).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
-    sizes = _spark.materialise(texts.select("node", F.octet_length("text").alias("bytes")), "sizes")
+    known = _spark.materialise(_linked(distances(members, pivots, docs, prints, width)).select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
+    sizes = prints.where(F.size("keys") > 0).select("node", "bytes")
     cut = 0
     while True:
         roots = _components.components(known)
@@ -300,17 +336,17 @@ def jaccard_links(docs: DataFrame, prints: DataFrame, width: int = WIDTH, region
         state = rows.groupBy("region").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_rows"), F.sum("bytes").alias("_bytes")).where("_low <> _high")
         rows = _spark.materialise(rows.join(state.select("region", "_rows", "_bytes"), "region"), "regions")
         fits = (F.col("_rows") <= region_rows) & (F.col("_bytes") <= region_bytes) | (F.col("_rows") <= 2)
-        known = _spark.materialise(known.unionByName(links_in_regions(rows.where(fits), texts, width)), "links")
+        known = _spark.materialise(known.unionByName(links_in_regions(rows.where(fits), docs, prints, width)), "links")
         large = rows.where(~fits)
         _spark.discard(roots)
         if large.isEmpty():
-            for done in (star, texts, sizes, rows):
+            for done in (star, rows):
                 _spark.discard(done)
             return known
         cut += 1
         # about PIVOTS of each region, told by a hash that differs from round to round
         picked = large.where(F.pmod(F.xxhash64("node", F.lit(cut)), F.greatest(F.floor(F.col("_rows") / PIVOTS), F.lit(1))) == 0).select("region", F.col("node").alias("pivot"))
-        far = _spark.materialise(distances(large.select("region", "node"), picked, texts, width), "distances")
+        far = _spark.materialise(distances(large.select("region", "node"), picked, docs, prints, width), "distances")
         known = _spark.materialise(known.unionByName(_linked(far).select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "links")
         d = F.col("n") + F.col("m") - F.col("common")
         to = far.select("region", "node", "pivot", (1 - F.col("common") / d).alias("d")).unionByName(picked.select("region", F.col("pivot").alias("node"), "pivot", F.lit(0.0).alias("d")))
