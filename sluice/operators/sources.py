@@ -100,7 +100,7 @@ def direct(program: Program, rules: Sequence[Rule], profile: Profile) -> DataFra
         members = named_nodes(program, "MEMBER", profile.constants)
         out = out.unionByName(pick(by_name(enabled(program, members), rules), "VARIABLE_REGEX_MEMBER"))
     if profile.accesses:
-        out = out.unionByName(pick(by_name(enabled(program, program.field_accesses()), rules, "field"), "VARIABLE_REGEX_IDENTIFIER"))
+        out = out.unionByName(pick(by_name(enabled(program, program.accessed_fields()), rules, "field"), "VARIABLE_REGEX_IDENTIFIER"))
     if profile.index_literals:
         keys = program.arguments(program.operators(graph.INDEX_ACCESS)).where("arg_label = 'LITERAL'").select("repo", F.col("arg_id").alias("id")).distinct()
         literals = program.of("LITERAL").join(keys, ["repo", "id"], "left_semi").withColumn("bare", F.regexp_replace("code", "^[\"'`]|[\"'`]$", ""))
@@ -132,6 +132,13 @@ def derived(program: Program, rules: Sequence[Rule], profile: Profile) -> DataFr
     return _of_types(objects(program, profile.constants), types)
 
 
+def derived_kinds(program: Program, rules: Sequence[Rule], profile: Profile) -> DataFrame:
+    """(repo, id, file, type, rule_id, family) of objects of sensitive types, once whatever the number of members that make the type sensitive."""
+    types = sensitive_types(program, rules).where(F.col("family").isin(list(profile.derive)))
+    own = objects(program, profile.constants).select("repo", "id", "file", F.col("type_full_name").alias("type"))
+    return own.join(types.select("repo", "type", "rule_id", "family").distinct(), ["repo", "type"])
+
+
 def _of_types(nodes: DataFrame, types: DataFrame) -> DataFrame:
     own = nodes.select("repo", "id", "file", F.col("type_full_name").alias("type"))
     return own.join(types, ["repo", "type"]).select("repo", "id", "file", "type", "rule_id", "member", "family")

@@ -40,7 +40,7 @@ def _sources(language: str):
         direct = sources.direct(p, RULES, profile).select("id", "rule_id", "kind")
         if not profile.derive:
             return direct
-        return direct.unionByName(sources.derived(p, RULES, profile).select("id", "rule_id", F.col("family").alias("kind")).distinct())
+        return direct.unionByName(sources.derived_kinds(p, RULES, profile).select("id", "rule_id", F.col("family").alias("kind")).distinct())
 
     run.__name__ = f"source_tags_{language}"
     return run

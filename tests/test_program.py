@@ -50,6 +50,14 @@ def test_direct_sources_leave_constants_out(spark):
     assert 2 not in {r.id for r in sources.direct(p, [NAME], sources.PROFILES["ruby"]).collect()}
 
 
+def test_a_field_access_with_two_receivers_is_one_finding(spark):
+    nodes = [node(1, "CALL", "<operator>.fieldAccess"), node(2, "IDENTIFIER", "x", arg=1), node(3, "IDENTIFIER", "y", arg=1), node(4, "FIELD_IDENTIFIER", "first_name", arg=2)]
+    p = program(spark, nodes, [(1, "ARGUMENT", 2), (1, "ARGUMENT", 3), (1, "ARGUMENT", 4)])
+    rules = [Rule("Data.Name", ("first_name",))]
+    assert got(sources.direct(p, rules, sources.PROFILES["ruby"]), "id", "rule_id") == [(1, "Data.Name")]
+    assert p.field_accesses().count() == 2
+
+
 def test_derived_sources_by_name_type_and_inheritance(spark):
     p = shop(spark)
     found = sources.derived(p, [NAME], sources.PROFILES["java"])
