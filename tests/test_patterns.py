@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sluice.functions.patterns import required
+from sluice.functions.patterns import required, searched
 from sluice.operators import predicates, tagging
 from sluice.operators.tagging import Rule
 
@@ -29,3 +29,14 @@ def test_matches_are_those_without_looking(spark, monkeypatch):
     with_ = run()
     monkeypatch.setattr(predicates, "required", lambda _: ())
     assert with_ == run() and len(with_) > 1000
+
+
+def test_searches_are_without_open_ends(spark):
+    assert searched(r"(.*[\w.]+@[\w.]+.*)") == r"([\w.]@[\w.]+)" and searched("((?i).*licen[sc]e.*)") == "((?i)licen[sc]e)" and searched(r"(All rights reserved\.)") == r"(All rights reserved\.)"
+    for same in (r"(.*a|b.*)", r"(.*+a)", r"(.*(a)b)", r"(a\.*)", r"(^.*a)", r"([a-z]++a)", r"([^a]+b)", r"(a)(b)", "a.*", r"([a-z]+?b)", r"(a\b.*$)"):
+        assert searched(same) == same
+    lines = ["x" * 30000, "y " * 15000, "a@", "@b", "1.2@c", "LICENSE", "a\nlicence"]
+    df = spark.createDataFrame([(x,) for x in [*lines, "\n".join([lines[0], lines[3], lines[1], "licens"])]], "v string")
+    for pattern in (r"(.*[\w.]+@[\w.]+.*)", "((?i).*licen[sc]e.*)"):
+        want = {r.v for r in df.where("length(v) < 100").where(F.col("v").rlike(pattern)).collect()}
+        assert {r.v for r in df.where(predicates.partial_match(F.col("v"), pattern)).collect()} == want
