@@ -58,6 +58,13 @@ def test_a_field_access_with_two_receivers_is_one_finding(spark):
     assert p.field_accesses().count() == 2
 
 
+def test_literals_of_properties_are_linked_without_a_distinct_over_the_pairs(spark):
+    p = program(spark, [node(k, "LITERAL", code='"db.host"') for k in (1, 2)])
+    found = linkers.java_properties(p, properties(spark, (7, "a.yml", "db.host", "v"), (8, "a.yml", "db.host", "w")))
+    assert got(found, "property_id", "node_id") == [(7, 1), (7, 2), (8, 1), (8, 2)]
+    assert found._jdf.queryExecution().analyzed().nodeName() == "Union"
+
+
 def test_derived_sources_by_name_type_and_inheritance(spark):
     p = shop(spark)
     found = sources.derived(p, [NAME], sources.PROFILES["java"])
