@@ -6,7 +6,7 @@ equi-join on a name cut out of the code, never a pattern for each property.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import scalars as fn
@@ -316,31 +316,64 @@ def few_definitions(defs: DataFrame, limit: int) -> DataFrame:
     return defs.join(defs.groupBy("repo", "m").count().where(F.col("count") <= limit), ["repo", "m"], "left_semi")
 
 
-def reaching(program: Program, limit: int = 4000) -> DataFrame:
-    """(repo, def, name, at): nodes of the control flow that each definition reaches.
+def blocks(follow: DataFrame) -> DataFrame:
+    """(repo, at, head, pos): nodes of the control flow (repo, at, to) by their unbranched run, and their place in it from 0.
+
+    Pointers to the head double, so that a run of 1,000 nodes takes ten rounds; the nodes of a circle without a branch are runs of their own.
+    """
+    one = lambda side: follow.groupBy("repo", side).count().where("count = 1").select("repo", side)
+    link = follow.join(one("at"), ["repo", "at"], "left_semi").join(one("to"), ["repo", "to"], "left_semi")
+    up = keep(link.select("repo", F.col("to").alias("at"), F.col("at").alias("head"), F.lit(1).cast("long").alias("pos"), F.lit(False).alias("done")), "blocks")
+    left = up.count()
+    while left:
+        onward = up.select("repo", F.col("at").alias("head"), F.col("head").alias("_head"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
+        moved = up.where("not done").join(onward, ["repo", "head"], "left")
+        moved = moved.select("repo", "at", F.coalesce("_head", "head").alias("head"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos"), F.coalesce("_done", F.lit(True)).alias("done"))
+        up = keep(up.where("done").unionByName(moved), "blocks")
+        before, left = left, up.where("not done").count()
+        if left == before:
+            break
+    own = up.where("done").drop("done")
+    heads = follow.select("repo", "at").union(follow.select("repo", "to")).distinct().join(own, ["repo", "at"], "left_anti")
+    return own.unionByName(heads.select("repo", "at", F.col("at").alias("head"), F.lit(0).cast("long").alias("pos")))
+
+
+def reaching(program: Program, limit: int = 4000, targets: DataFrame | None = None) -> DataFrame:
+    """(repo, def, name, at): nodes of the control flow that each definition reaches; with ``targets`` (repo, at, or with name too) only those.
 
     A definition is generated at its node and goes along the CFG edges; an assignment of the same variable kills it, after it has been reached itself.
-    Facts go on in rounds, each of which joins what the one before has added, until nothing is.
+    Facts go from run to run in rounds, each of which joins what the one before has added, until nothing is; within a run places tell what is reached.
     """
-    defs = keep(few_definitions(definitions(program), limit), "definitions")
+    defs = few_definitions(definitions(program), limit)
     follow = keep(program.edges.where("label = 'CFG'").select("repo", F.col("src").alias("at"), F.col("dst").alias("to")).distinct(), "control")
-    kills = defs.select("repo", "at", "name").distinct()
-    front = defs.select("repo", "def", "name", "at").distinct()
-    every = None
+    place = keep(blocks(follow), "places")
+    own = keep(defs.select("repo", "def", "name", "at").distinct().join(place, ["repo", "at"]).drop("at"), "definitions")
+    run = Window.partitionBy("repo", "head", "name").orderBy("pos")
+    kills = keep(own.select("repo", "head", "name", "pos").distinct().withColumn("hi", F.lead("pos").over(run)).withColumn("first", F.row_number().over(run) == 1), "kills")
+    local = keep(own.join(kills, ["repo", "head", "name", "pos"]).select("repo", "def", "name", "head", (F.col("pos") + 1).alias("lo"), "hi"), "local")
+    at = place.select("repo", "at", "head")
+    to = place.where("pos = 0").select("repo", F.col("at").alias("to"))
+    onward = keep(follow.join(to, ["repo", "to"], "left_semi").join(at, ["repo", "at"]).select("repo", "head", "to").distinct(), "onward")
+    front, every = local.where("hi is null").select("repo", "def", "name", "head").distinct(), None
     while True:
-        came = front.join(follow, ["repo", "at"]).select("repo", "def", "name", F.col("to").alias("at")).distinct()
-        new = keep(came if every is None else came.join(every, ["repo", "def", "name", "at"], "left_anti"), "reaching")
-        if new.isEmpty():
-            return new if every is None else every
+        came = front.join(onward, ["repo", "head"]).select("repo", "def", "name", F.col("to").alias("head")).distinct()
+        new = keep(came if every is None else came.join(every, ["repo", "def", "name", "head"], "left_anti"), "reaching")
+        if every is not None and new.isEmpty():
+            break
         every = new if every is None else every.unionByName(new)
-        front = new.join(kills, ["repo", "at", "name"], "left_anti")
+        front = new.join(kills, ["repo", "head", "name"], "left_anti")
+    stop = kills.where("first").select("repo", "head", "name", F.col("pos").alias("hi"))
+    spans = local.unionByName(every.join(stop, ["repo", "head", "name"], "left").select("repo", "def", "name", "head", F.lit(0).cast("long").alias("lo"), "hi"))
+    wanted = place if targets is None else targets.join(place, ["repo", "at"])
+    inside = (F.col("pos") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("pos") <= F.col("hi")))
+    return spans.join(wanted, [c for c in ("repo", "head", "name") if c in wanted.columns]).where(inside).select("repo", "def", "name", "at").distinct()
 
 
 def definition_uses(program: Program, limit: int = 4000) -> DataFrame:
     """FLOWS edges from each definition to the uses of its variable that it reaches; the left side of an assignment is no use."""
     left = program.arguments(program.operators(graph.ASSIGNMENT)).where("arg_argument_index = 1").select("repo", F.col("arg_id").alias("at"))
     uses = program.of("IDENTIFIER").select("repo", F.col("id").alias("at"), "name").join(left, ["repo", "at"], "left_anti")
-    return reaching(program, limit).join(uses, ["repo", "at", "name"]).select("repo", F.col("def").alias("src"), F.col("at").alias("dst"), F.lit("FLOWS").alias("label")).distinct()
+    return reaching(program, limit, uses).select("repo", F.col("def").alias("src"), F.col("at").alias("dst"), F.lit("FLOWS").alias("label")).distinct()
 
 
 def lambda_captures(program: Program, limit: int = 4000) -> DataFrame:
@@ -365,7 +398,7 @@ def lambda_captures(program: Program, limit: int = 4000) -> DataFrame:
     refs = program.edges.where("label = 'REF'").select("repo", F.col("src").alias("at"), F.col("dst").alias("inner")).join(program.of("METHOD_REF").select("repo", F.col("id").alias("at")), ["repo", "at"])
     flows_in = program.edges.where("label = 'CFG'").select("repo", F.col("dst").alias("at")).distinct()
     seen = keep(refs.join(flows_in, ["repo", "at"], "left_semi"), "refs")
-    live = reaching(program, limit).join(seen, ["repo", "at"]).select("repo", "inner", "name", F.col("def").alias("src")).distinct()
+    live = reaching(program, limit, seen.select("repo", "at").distinct()).join(seen, ["repo", "at"]).select("repo", "inner", "name", F.col("def").alias("src")).distinct()
     known = seen.select("repo", "inner").distinct()
     given = defs.select("repo", F.col("def").alias("src")).distinct()
     killed = forth.join(known, ["repo", "inner"], "left_semi").join(given, ["repo", "src"], "left_semi").join(live, ["repo", "inner", "name", "src"], "left_anti")

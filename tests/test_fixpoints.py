@@ -123,3 +123,13 @@ def test_names_met_by_their_pieces(spark):
     cols = spark.createDataFrame([("r", k, "S", f) for k, f in files], "repo string, id long, rule_id string, file string")
     syncs = spark.createDataFrame([("r", k, "T", m) for k, m in models], "repo string, id long, rule_id string, model string")
     assert set(got(linkers.synced_flows(cols, syncs), "path_id")) == {(f"{a}-{b}",) for a, f in files for b, m in models if m and m in f}
+
+
+def test_definitions_go_through_a_run_without_a_round_for_each_node(spark, monkeypatch):
+    n = 40
+    nodes = [node(0, "METHOD"), node(1, "PARAMETER", "x")] + [node(k, "IDENTIFIER", "x") for k in range(2, n)]
+    edges = [(0, "AST", 1), (0, "CFG", 2), *((k, "CFG", k + 1) for k in range(2, n - 1)), (100, "CFG", 101), (101, "CFG", 100)]
+    rounds, keep = [], linkers.keep
+    monkeypatch.setattr(linkers, "keep", lambda df, tag: rounds.append(tag) or keep(df, tag))
+    assert got(linkers.definition_uses(program(spark, nodes, edges)), "src", "dst") == sorted(((1, k) for k in range(2, n)), key=repr)
+    assert len(rounds) < 20
