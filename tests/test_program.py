@@ -480,3 +480,16 @@ def test_controllers_forms_layouts_and_items(spark):
     m = program(spark, [node(1, "FILE", "app/users_controller.rb"), node(2, "METHOD", "index", file="app/users_controller.rb"), node(3, "CALL", "c", file="app/users_controller.rb"), node(4, "METHOD", "help", file="lib/h.rb"), node(5, "CALL", "d", file="lib/h.rb")], [(2, "CONTAINS", 3), (3, "CALL", 4), (4, "CONTAINS", 5)], [(5, "id", "x")])
     items, tags = collections.repository_items(m)
     assert got(items, "item", "files") == [("app--users", ["app/users_controller.rb", "lib/h.rb"])] and got(tags, "node_id", "value") == [(5, "app--users")]
+
+
+def test_rules_of_a_node_meet_before_they_become_tags(spark):
+    from sluice.operators import tagging
+
+    rules = [Rule("A", ("a",), cat_two="x"), Rule("B", ("b",), cat_two="y", is_external=True)]
+    matched = spark.createDataFrame([("r", 1, "A"), ("r", 1, "A"), ("r", 1, "B"), ("r", 2, "A")], "repo string, node_id long, rule_id string")
+    tags = tagging.rule_tags(matched, tagging.rule_table(spark, rules))
+    own = [("id", "A"), ("nodeType", "REGULAR"), ("catLevelOne", "sources"), ("catLevelTwo", "x"), ("xREGULAR", "A")]
+    other = [("id", "B"), ("catLevelTwo", "y"), ("yREGULAR", "B"), ("externalRule", "")]
+    assert got(tags, "node_id", "name", "value") == sorted([(1, *t) for t in own + other] + [(2, *t) for t in own], key=repr)
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
