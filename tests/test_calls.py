@@ -150,3 +150,16 @@ def test_random_steps_equal_a_search_by_hand(spark, seed):
     least = calls.paths(df, seeds(spark, *sources), seeds(spark, *sinks), calls.EngineContext(max_call_depth=2, shortest_only=True))
     assert {tuple(r.path) for r in least.collect()} <= set(rows)
     assert {(r.source, r.sink) for r in least.select("source", "sink").collect()} <= {(x[0], x[-1]) for x in rows}
+
+
+def test_an_argument_of_two_calls_keeps_the_flow_of_the_unknown_one(spark):
+    """One call has semantics that stop the flow, the other none; calls without either are not joined at all."""
+    from tests.program import got
+
+    nodes = [node(1, "CALL", full="lib.known"), node(2, "CALL", full="lib.other"), node(3, "IDENTIFIER", arg=1), node(4, "IDENTIFIER")]
+    p = program(spark, nodes, [(1, "ARGUMENT", 3), (2, "ARGUMENT", 3), (3, "FLOWS", 4), (3, "FLOWS", 2)])
+    table = spark.createDataFrame([("lib.known", "0->0")], "signature string, flow string")
+    assert got(calls.steps(p, table), "a", "b") == [(3, 2), (3, 4)]
+    alone = program(spark, nodes, [(1, "ARGUMENT", 3), (3, "FLOWS", 4), (3, "FLOWS", 2)])
+    assert got(calls.steps(alone, table), "a", "b") == []
+    assert got(calls.steps(alone), "a", "b") == [(3, 2), (3, 4)]
