@@ -22,6 +22,7 @@ BY_NAME, BY_TYPE, BY_INHERITANCE = "derived_by_member_name", "derived_by_member_
 # Internal tags.
 OBJECT_TAGS = {BY_NAME: "OBJECT_OF_SENSITIVE_CLASS_BY_MEMBER_NAME", BY_TYPE: "OBJECT_OF_SENSITIVE_CLASS_BY_MEMBER_TYPE", BY_INHERITANCE: "OBJECT_OF_SENSITIVE_CLASS_BY_INHERITANCE"}
 ORIGINAL, DERIVED = "ORIGINAL_SOURCE", "DERIVED_SOURCE"
+TYPE_PARTS = 32  # over which the objects of one type are dealt
 
 
 @dataclass(frozen=True)
@@ -135,13 +136,22 @@ def derived(program: Program, rules: Sequence[Rule], profile: Profile) -> DataFr
 def derived_kinds(program: Program, rules: Sequence[Rule], profile: Profile) -> DataFrame:
     """(repo, id, file, type, rule_id, family) of objects of sensitive types, once whatever the number of members that make the type sensitive."""
     types = sensitive_types(program, rules).where(F.col("family").isin(list(profile.derive)))
-    own = objects(program, profile.constants).select("repo", "id", "file", F.col("type_full_name").alias("type"))
-    return own.join(types.select("repo", "type", "rule_id", "family").distinct(), ["repo", "type"])
+    return _on_types(objects(program, profile.constants), types.select("repo", "type", "rule_id", "family").distinct())
+
+
+def _on_types(nodes: DataFrame, types: DataFrame) -> DataFrame:
+    """(repo, type, id, file, ...) of nodes with each row of ``types`` of their type.
+
+    Few types may have nearly all objects, and each object many rows. So a type's objects are dealt over parts, to each of which its rows go; merged,
+    as a side that is small in bytes would else be sent to the few tasks of the other.
+    """
+    own = nodes.select("repo", "id", "file", F.col("type_full_name").alias("type"), F.pmod(F.xxhash64("id"), F.lit(TYPE_PARTS)).alias("_part"))
+    every = types.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(TYPE_PARTS - 1).cast("long"))))
+    return own.join(every.hint("merge"), ["repo", "type", "_part"]).drop("_part")
 
 
 def _of_types(nodes: DataFrame, types: DataFrame) -> DataFrame:
-    own = nodes.select("repo", "id", "file", F.col("type_full_name").alias("type"))
-    return own.join(types, ["repo", "type"]).select("repo", "id", "file", "type", "rule_id", "member", "family")
+    return _on_types(nodes, types).select("repo", "id", "file", "type", "rule_id", "member", "family")
 
 
 def external_class_objects(program: Program, rules: Sequence[Rule]) -> DataFrame:

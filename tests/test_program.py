@@ -65,6 +65,17 @@ def test_literals_of_properties_are_linked_without_a_distinct_over_the_pairs(spa
     assert found._jdf.queryExecution().analyzed().nodeName() == "Union"
 
 
+def test_objects_of_one_type_are_dealt_over_tasks(spark):
+    nodes = [node(1, "TYPE_DECL", "User", type="shop.User"), node(2, "MEMBER", "firstName"), *(node(100 + k, "IDENTIFIER", "u", type="shop.User") for k in range(300))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sources.derived(program(spark, nodes, [(1, "AST", 2)]), [NAME], sources.PROFILES["go"]).select("id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r.id for r in rows) == list(range(100, 400))
+    assert len({r.task for r in rows}) > 1
+
+
 def test_derived_sources_by_name_type_and_inheritance(spark):
     p = shop(spark)
     found = sources.derived(p, [NAME], sources.PROFILES["java"])
