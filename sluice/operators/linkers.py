@@ -234,20 +234,46 @@ def type_slots(program: Program) -> tuple[DataFrame, DataFrame]:
     right = given.where("arg_argument_index = 2").select("repo", "id", "at", "type")
     back = program.edges.where("label = 'CONTAINS'").select("repo", F.col("src").alias("m"), F.col("dst").alias("id")).join(program.of("METHOD").select("repo", F.col("id").alias("m"), "method_full_name"), ["repo", "m"])
     returns = values(program.arguments(program.of("RETURN")).join(place, ["repo", "id"])).join(back, ["repo", "id"]).select("repo", slot("r", "method_full_name").alias("slot"), "at", "type")
-    pairs = left.join(right, ["repo", "id"]).select("repo", "slot", "at", "type").unionByName(returns)
+    pairs = keep(left.join(right, ["repo", "id"]).select("repo", "slot", "at", "type").unionByName(returns), "pairs")
     return pairs.where("type is not null").select("repo", "slot", "type").distinct(), pairs.where("at is not null and at <> slot").select("repo", "slot", F.col("at").alias("origin")).distinct()
 
 
+def leaders(known: DataFrame, copies: DataFrame) -> DataFrame:
+    """(repo, slot, leader): slots that have what one other slot has, and nothing else, with the first slot up that way which is none of these.
+
+    Pointers double, so a way of 1,000 copies takes ten rounds. Slots whose way ends in a circle have no types and no leader: they are what is left when a
+    round brings no pointer home.
+    """
+    one = copies.groupBy("repo", "slot").agg(F.count("*").alias("n"), F.min("origin").alias("leader")).where("n = 1").select("repo", "slot", "leader")
+    one = keep(one.join(known, ["repo", "slot"], "left_anti"), "followers")
+    rows, left = one.withColumn("_open", F.lit(True)), None
+    while True:
+        onward = rows.select("repo", F.col("slot").alias("leader"), F.col("leader").alias("_leader"), F.col("_open").alias("_more"))
+        home = F.col("_leader").isNull()
+        moved = rows.where("_open").join(onward, ["repo", "leader"], "left").select("repo", "slot", F.coalesce("_leader", "leader").alias("leader"), (~home & F.col("_more")).alias("_open"))
+        rows = keep(moved.unionByName(rows.where("not _open")), "followers")
+        now = rows.where("_open").count()
+        if now == 0 or now == left:
+            return rows.where("not _open").select("repo", "slot", "leader")
+        left = now
+
+
 def spread(known: DataFrame, copies: DataFrame) -> DataFrame:
-    """(repo, slot, type): all that slots get over any number of copies. Each round joins only what the one before has added, until nothing is."""
+    """(repo, slot, type): all that slots get over any number of copies.
+
+    Slots that only repeat another one take the types of their leader at the end; between leaders each round joins only what the one before has added, until nothing is.
+    """
     new = keep(known.select("repo", "slot", "type").distinct(), "types")
-    copies = keep(copies, "copies")
+    copies = keep(copies.select("repo", "slot", "origin").distinct(), "copies")
+    led = leaders(new, copies)
+    among = copies.join(led.select("repo", "slot"), ["repo", "slot"], "left_anti").join(led.select("repo", F.col("slot").alias("origin"), "leader"), ["repo", "origin"], "left")
+    among = keep(among.select("repo", "slot", F.coalesce("leader", "origin").alias("origin")).where("slot <> origin").distinct(), "copies")
     every = new
-    while not new.isEmpty():
-        came = copies.join(new.withColumnRenamed("slot", "origin"), ["repo", "origin"]).select("repo", "slot", "type").distinct()
+    while not among.isEmpty() and not new.isEmpty():
+        came = among.join(new.withColumnRenamed("slot", "origin"), ["repo", "origin"]).select("repo", "slot", "type").distinct()
         new = keep(came.join(every, ["repo", "slot", "type"], "left_anti"), "types")
         every = every.unionByName(new)
-    return every
+    return every.unionByName(led.join(every.withColumnRenamed("slot", "leader"), ["repo", "leader"]).select("repo", "slot", "type"))
 
 
 def recovered_types(program: Program) -> DataFrame:

@@ -133,3 +133,14 @@ def test_definitions_go_through_a_run_without_a_round_for_each_node(spark, monke
     monkeypatch.setattr(linkers, "keep", lambda df, tag: rounds.append(tag) or keep(df, tag))
     assert got(linkers.definition_uses(program(spark, nodes, edges)), "src", "dst") == sorted(((1, k) for k in range(2, n)), key=repr)
     assert len(rounds) < 20
+
+
+def test_a_long_way_of_copies_takes_few_rounds(spark, monkeypatch):
+    """Sixty-four variables in a row, two that meet, and a circle that nothing comes into."""
+    copies = [(f"v{k + 1}", f"v{k}") for k in range(64)] + [("m", "v64"), ("m", "w"), ("n", "m"), ("c1", "c2"), ("c2", "c1"), ("c3", "c1")]
+    rounds = []
+    monkeypatch.setattr(linkers, "keep", lambda df, tag, real=linkers.keep: rounds.append(tag) or real(df, tag))
+    known = spark.createDataFrame([("r", "v0", "T"), ("r", "w", "U")], "repo string, slot string, type string")
+    got_ = {(r.slot, r.type) for r in linkers.spread(known, spark.createDataFrame([("r", a, b) for a, b in copies], "repo string, slot string, origin string")).collect()}
+    assert got_ == {(f"v{k}", "T") for k in range(65)} | {("w", "U"), ("m", "T"), ("m", "U"), ("n", "T"), ("n", "U")}
+    assert len(rounds) <= 20
