@@ -163,3 +163,27 @@ def test_an_argument_of_two_calls_keeps_the_flow_of_the_unknown_one(spark):
     alone = program(spark, nodes, [(1, "ARGUMENT", 3), (3, "FLOWS", 4), (3, "FLOWS", 2)])
     assert got(calls.steps(alone, table), "a", "b") == []
     assert got(calls.steps(alone), "a", "b") == [(3, 2), (3, 4)]
+
+
+def test_a_program_without_calls_of_its_own_makes_no_tables_for_them(spark, monkeypatch):
+    """Flows that fork at every node: nothing to class and no run to join."""
+    made = []
+    monkeypatch.setattr(calls, "keep", lambda df, tag, real=calls.keep: made.append(tag) or real(df, tag))
+    nodes, edges = joined(call(10))
+    p = program(spark, [*nodes, *(node(k, "IDENTIFIER") for k in (1, 2, 3))], [*edges, (1, "FLOWS", 2), (1, "FLOWS", 3), (2, "FLOWS", 10), (3, "FLOWS", 10)])
+    assert found(calls.reach_by_calls(p, seeds(spark, 1, 2, 3), seeds(spark, 10))) == [(1, 2, 10), (1, 3, 10), (2, 10), (3, 10)]
+    assert not {"classed", "arguments", "runs", "contracted"} & set(made)
+
+
+def test_reached_reads_only_steps_that_lie_ahead(spark, monkeypatch):
+    rows = []
+
+    def counted(df, tag, real=calls.keep):
+        out = real(df, tag)
+        rows.extend([out.count()] if tag == "ahead" else [])
+        return out
+
+    monkeypatch.setattr(calls, "keep", counted)
+    steps = spark.createDataFrame([("r", a, b) for a, b in [(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)]], "repo string, a long, b long")
+    assert {r.id for r in calls.reached(steps, seeds(spark, 1)).collect()} == {1, 2, 3, 4}
+    assert rows == [4, 3, 2, 1]
