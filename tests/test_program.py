@@ -504,3 +504,15 @@ def test_rules_of_a_node_meet_before_they_become_tags(spark):
     assert got(tags, "node_id", "name", "value") == sorted([(1, *t) for t in own + other] + [(2, *t) for t in own], key=repr)
     plan = tags._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_expanding_makes_flows_distinct_and_not_all_tags(spark, capsys):
+    tags = [(1, "id", "Data.A"), (1, "id", "Data.A"), (2, "id", "S"), (2, "catLevelTwo", "leakages"), (2, "catLevelTwo", "leakages"), (2, "leakagesREGULAR", "S"), (2, "leakagesREGULAR", "S")]
+    p = program(spark, [], [], tags)
+    raw = spark.createDataFrame([("r", [1, 2], "1-2")], "repo string, path array<long>, path_id string")
+    wide = flows.expand(raw, p.tags, spark.createDataFrame([("leakages", "REGULAR")], "cat_two string, node_type string"))
+    assert got(wide, "source_id", "sink_id", "path_id") == [("Data.A", "S", "1-2")]
+    capsys.readouterr()
+    wide.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("Aggregate [") == 2  # of the kinds, and of the flows
