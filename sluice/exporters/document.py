@@ -123,16 +123,24 @@ def sink_processing(program: Program, flows: DataFrame | None = None, *, dedup:
     return processing(occurrences(program, sink_nodes(program), dedup=dedup, keep=COOKIE_WRITE), flow_ends(program, flows, False) if flows is not None else None, "sinkId")
 
 
-def dataflows(program: Program, flows: DataFrame, rules: DataFrame | None = None, arguments: DataFrame | None = None) -> DataFrame:
-    """(repo, kind, sourceId, sinks): for each sub-category, source and sink the paths with the place of every node; and a sink call's arguments, where known."""
+PATH_KEYS = ["sink_sub_category", "source_id", "sink_id", "sink_node_type"]
+
+
+def dataflow_paths(program: Program, flows: DataFrame, arguments: DataFrame | None = None) -> DataFrame:
+    """(repo, sink_sub_category, source_id, sink_id, sink_node_type, pathId, path, arguments): the paths of the section, a row each, with the place of every node; and a sink call's arguments, where known."""
     steps = flows.select("repo", "path_id", F.posexplode("path").alias("pos", "id")).distinct().join(program.nodes.select("repo", "id", "code", "file", "line", "col"), ["repo", "id"])
     shown = steps.groupBy("repo", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", place().alias("p")))), lambda x: x["p"]).alias("places"))
-    own = flows.join(shown, ["repo", "path_id"])
+    own = flows.withColumn("id", F.element_at("path", -1)).select("repo", "path_id", "id", *PATH_KEYS).distinct()
     if arguments is not None:
-        own = own.withColumn("id", F.element_at("path", -1)).join(arguments, ["repo", "id"], "left").drop("id")
+        own = own.join(arguments, ["repo", "id"], "left").select("repo", "path_id", *PATH_KEYS, "arguments").distinct()
     else:
         own = own.withColumn("arguments", F.lit(None).cast("string"))
-    paths = own.groupBy("repo", "sink_sub_category", "source_id", "sink_id", "sink_node_type").agg(F.array_sort(F.collect_set(F.struct(F.col("path_id").alias("pathId"), F.col("places").alias("path"), "arguments"))).alias("paths"))
+    return own.join(shown, ["repo", "path_id"]).select("repo", *PATH_KEYS, F.col("path_id").alias("pathId"), F.col("places").alias("path"), "arguments")
+
+
+def dataflows(program: Program, flows: DataFrame, rules: DataFrame | None = None, arguments: DataFrame | None = None) -> DataFrame:
+    """(repo, kind, sourceId, sinks): for each sub-category, source and sink its ``dataflow_paths``."""
+    paths = dataflow_paths(program, flows, arguments).groupBy("repo", *PATH_KEYS).agg(F.array_sort(F.collect_set(F.struct("pathId", "path", "arguments"))).alias("paths"))
     urls = program.tags.where(F.col("name").startswith("apiUrl")).select("repo", F.expr("substring(name, 7)").alias("sink_id"), "value").groupBy("repo", "sink_id").agg(F.array_sort(F.collect_set("value")).alias("apiUrl"))
     with_urls = paths.join(urls, ["repo", "sink_id"], "left")
     name = F.lit(None).cast("string")
