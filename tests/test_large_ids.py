@@ -20,7 +20,7 @@ def far(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["flow_overlap_filter", "export_dataflows", "flow_store", "recovered_types"])
+@pytest.mark.parametrize("name", ["flow_overlap_filter", "export_dataflows", "flow_store", "recovered_types", "reaching_definitions"])
 def test_ids_of_two_kinds_never_meet(spark, far, name):
     db = duckdb.connect()
     for t in ("customer", "orders", "part", "events"):
