@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from sluice.operators import calls
 from sluice.plans import catalogue, flow_queries, ids, program_queries  # noqa: F401
 from tests.test_queries import SF
 
@@ -34,3 +35,15 @@ def test_spread_ids_are_summed_again(spark):
     assert ids.spread("SELECT 20000000 + k + 1, 1000000 + k, k % 100") == "SELECT 20000000000000 + k + 1, 1000000000000 + k, k % 100"
     rows = spark.range(1).selectExpr("explode(array(20 * bigint(1000000000000) + 54000000, bigint(71000000000000) - 1, bigint(3))) AS id")
     assert [r.id for r in rows.select(ids.summed(rows.id).alias("id")).collect()] == [74000000, 70999999, 3]
+
+
+def test_paths_by_calls_of_nodes_apart(spark, far, monkeypatch):
+    """The SQL as it stands goes from node to node of one number and does not end here, so it is run with the offsets spread. Nothing counts as small."""
+    monkeypatch.setattr(calls, "FEW_ROWS", 0)
+    monkeypatch.setattr(calls, "FEW_BYTES", 0)
+    db = duckdb.connect()
+    for t in ("customer", "orders"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{far}/{t}.parquet'")
+    plain = lambda i: (i + ids.SPAN // 2) // ids.SPAN * (ids.STEP - ids.SPAN) + i
+    want = sorted((plain(a), plain(b), "-".join(str(plain(int(x))) for x in path.split("-"))) for a, b, path in db.sql(f"SELECT source, sink, path_id FROM ({ids.spread(catalogue.ORACLES['flow_paths_by_calls'])})").fetchall())
+    assert want and sorted(map(tuple, catalogue.QUERIES["flow_paths_by_calls"](spark, far).select("source", "sink", "path_id").collect())) == want
